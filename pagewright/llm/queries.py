@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import groups, setjoin, windows
+from . import density, groups, setjoin, subset, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,10 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": on(windows.found, "ocr_jobs", "page_info"),
         "p1_windows": on(windows.split_requests, "ocr_jobs", "page_info"),
+        "p3_found": on(density.found, "doc_features"),
+        "p3_clusters": on(density.report, "doc_features"),
         "p4_found": on(groups.found, "cluster_pairs"),
         "p5_found": on(setjoin.found, "doc_features", "clusters"),
         "p5_links": on(setjoin.summary, "doc_features", "clusters"),
+        "p6_subset": on(subset.subset, "doc_features", "clusters"),
     }
