@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import density, groups, setjoin, subset, windows
+from . import cuts, density, groups, leaks, setjoin, subset, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,4 +25,8 @@ def queries() -> dict[str, Query]:
         "p5_found": on(setjoin.found, "doc_features", "clusters"),
         "p5_links": on(setjoin.summary, "doc_features", "clusters"),
         "p6_subset": on(subset.subset, "doc_features", "clusters"),
+        "p9_found": on(leaks.found, "documents", "eval_items"),
+        "p9_cleaned": on(leaks.cleaned, "documents", "eval_items"),
+        "p10_found": on(cuts.found, "documents"),
+        "p10_sources": on(cuts.sources, "documents"),
     }
