@@ -114,7 +114,7 @@ def judged(documents: DataFrame) -> DataFrame:
         .na.fill(0, ["alone", "more", "near"])
     )
     known = (F.col("alone") >= 2) & (F.col("alone") * ALONE >= F.col("more"))
-    closing = F.col("g").rlike(r"(?:^| )(?:<x>|<d>|0)$")
+    closing = (F.col("k") <= 6) & F.col("g").rlike(r"(?:^| )(?:<x>|<d>|0)$")
     goes = (F.col("more") > 0) | (F.col("near") > F.col("alone"))
     open_end = ~known & (goes | ((F.col("k") > 4) & ~closing))
     shapes_cut = keys.where(open_end).select("g").distinct()

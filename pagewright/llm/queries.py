@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import cuts, density, groups, leaks, setjoin, subset, windows
+from . import cuts, density, groups, langid, leaks, setjoin, subset, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": on(windows.found, "ocr_jobs", "page_info"),
         "p1_windows": on(windows.split_requests, "ocr_jobs", "page_info"),
+        "p2_found": on(langid.found, "documents", "ocr_jobs", "text_lines"),
+        "p2_documents": on(langid.document_languages, "documents"),
+        "p2_jobs": on(langid.jobs_report, "documents", "ocr_jobs", "text_lines"),
         "p3_found": on(density.found, "doc_features"),
         "p3_clusters": on(density.report, "doc_features"),
         "p4_found": on(groups.found, "cluster_pairs"),
