@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import cuts, density, groups, langid, leaks, packing, setjoin, subset, windows
+from . import cuts, density, groups, langid, leaks, packing, scans, setjoin, subset, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,8 @@ def queries() -> dict[str, Query]:
         "p5_found": on(setjoin.found, "doc_features", "clusters"),
         "p5_links": on(setjoin.summary, "doc_features", "clusters"),
         "p6_subset": on(subset.subset, "doc_features", "clusters"),
+        "p7_found": on(scans.found, "text_lines", "page_info", "documents"),
+        "p7_paragraphs": on(scans.paragraphs, "text_lines", "page_info", "documents"),
         "p8_packing": on(packing.packing, "documents"),
         "p8_report": on(packing.report, "documents"),
         "p9_found": on(leaks.found, "documents", "eval_items"),
