@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,3 +16,8 @@ def strip(c: Column | str) -> Column:
 def feature_key(c: Column | str) -> Column:
     """Features are compared without letter case and outer white space."""
     return F.lower(strip(c))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once, however often f names it; keeps plans from growing with every nesting."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))

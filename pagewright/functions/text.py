@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .norm import strip
+from .norm import let, strip
 
 # Fixed values.
 VOWELS = "àâéèêëîïôùûü", "aaeeeeiiouuu"
@@ -47,12 +49,13 @@ def enumerator_patterns(word: str = "", line: bool = False) -> list[tuple[str, i
 def enumerator(c: Column | str, lang: Column | None = None, line: bool = False) -> Column:
     """The first enumerator the text starts with, null if none. lang: column whose language sets the optional note word."""
     c = F.col(c) if isinstance(c, str) else c
-    low = strip(F.lower(c))
 
     def first(word: str) -> Column:
-        found = [F.nullif(F.regexp_extract(low, p, g), F.lit("")) for p, g in enumerator_patterns(word, line)]
-        odd = F.when(F.substring(c, 1, 1).isin("�", ""), F.substring(c, 1, 1))
-        return F.coalesce(*found, odd)
+        def found(low: Column) -> Column:
+            return F.coalesce(*[F.nullif(F.regexp_extract(low, p, g), F.lit("")) for p, g in enumerator_patterns(word, line)])
+
+        odd = F.when(F.substring(c, 1, 1).isin("\ufffd", "\uf0b7"), F.substring(c, 1, 1))
+        return F.coalesce(let(strip(F.lower(c)), found), odd)
 
     if lang is None:
         return first("")
@@ -78,23 +81,28 @@ def enumerator_type(c: Column | str) -> Column:
 
     Replacements follow each other on the text as it then is, so letters of names put in before are replaced again.
     """
-    t = strip(F.lower(c))
-    roman = F.regexp_extract_all(t, F.lit("([ivxl]+)"), F.lit(1))
-    t = F.aggregate(roman, t, lambda acc, x: F.replace(acc, x, F.lit(" romain ")))
-    digits = F.regexp_extract_all(t, F.lit("([0-9]+)"), F.lit(1))
-    t2 = F.aggregate(digits, t, lambda acc, x: F.replace(acc, x, F.lit(" cardinal ")))
-    first = F.regexp_extract(t2, r"^([a-z]*)", 1)
-    t3 = F.when(F.length(first) == 1, F.replace(t2, first, F.lit(" lettre "))).otherwise(t2)
-    return sign_words(t3)
+
+    def named(pattern: str, name: str) -> Callable[[Column], Column]:
+        return lambda t: F.aggregate(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), t, lambda acc, x: F.replace(acc, x, F.lit(name)))
+
+    def letter(t: Column) -> Column:
+        return let(F.regexp_extract(t, r"^([a-z]*)", 1), lambda first: F.when(F.length(first) == 1, F.replace(t, first, F.lit(" lettre "))).otherwise(t))
+
+    return sign_words(let(let(let(strip(F.lower(c)), named("([ivxl]+)", " romain ")), named("([0-9]+)", " cardinal ")), letter))
 
 
 def strip_dates(c: Column | str) -> Column:
     """Every occurrence of the first date with a four-digit year, then of the first with a short year, removed."""
     t = F.col(c) if isinstance(c, str) else c
-    for p in (DATE_4, DATE_2):
-        m = strip(F.regexp_extract(F.concat(F.lit(" "), t, F.lit(" ")), p, 1))
-        t = F.when(m != "", strip(F.replace(t, m, F.lit("")))).otherwise(t)
-    return t
+
+    def without(p: str) -> Callable[[Column], Column]:
+        def cut_out(t: Column) -> Column:
+            m = strip(F.regexp_extract(F.concat(F.lit(" "), t, F.lit(" ")), p, 1))
+            return let(m, lambda x: F.when(x != "", strip(F.replace(t, x, F.lit("")))).otherwise(t))
+
+        return cut_out
+
+    return let(let(t, without(DATE_4)), without(DATE_2))
 
 
 def strip_numbers(c: Column | str) -> Column:
