@@ -180,19 +180,32 @@ class Scorer:
 
     def __init__(self, model: Pieces):
         self.model, self.known = model, {}
+        self.rows = np.zeros((1024, len(LANGS)))
 
-    def word(self, w: str) -> np.ndarray:
-        if len(self.known) >= CACHE:
-            self.known.clear()
+    def word(self, w: str) -> int:
+        k = len(self.known)
+        if k == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         v = self.model.forward(marked(w))
-        v = self.known[w] = np.maximum(v - v.max(), -LIMIT)
-        return v
+        self.rows[k] = np.maximum(v - v.max(), -LIMIT)
+        self.known[w] = k
+        return k
 
-    def scores(self, text: str) -> tuple[np.ndarray, int]:
-        """(log score of each language, words) of a text; no word tells more than LIMIT against a language."""
-        known = self.known
-        v = [known[w] if w in known else self.word(w) for w in WORD.findall(text)]
-        return (np.array(v).sum(axis=0), len(v)) if v else (np.zeros(len(LANGS)), 0)
+    def scores(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log scores of each text and language, words of each text); no word tells more than LIMIT against a language."""
+        if len(self.known) >= CACHE:
+            self.known.clear()
+        get, ids, n = self.known.get, [], []
+        for t in texts:
+            ws = WORD.findall(t)
+            n.append(len(ws))
+            for w in ws:
+                k = get(w)
+                ids.append(self.word(w) if k is None else k)
+        count = np.array(n, dtype=np.int64)
+        total = np.concatenate([np.zeros((1, len(LANGS))), np.cumsum(self.rows[ids], axis=0)]) if ids else np.zeros((1, len(LANGS)))
+        end = np.cumsum(count)
+        return total[end] - total[end - count], count
 
 
 def confidence(score: np.ndarray) -> float:
@@ -202,59 +215,68 @@ def confidence(score: np.ndarray) -> float:
 
 
 # a sentence ends at its sign before white space, but not after a number (ordinals, dates) or a single letter
-SENTENCE = re.compile(r"(?:(?<=[^\W\d_][.!?])|(?<=[%)\]»”\"][.!?])|(?<=[.!?][)»”\"]))(?<![.\s][^\W\d_]\.)\s+(?=[^\s])|[\r\n]+")
-ENDED = re.compile(r"[.!?][)\]»”\"']*$")
+STOP = re.compile(r"[.!?][)\]»”\"']*(?=\s)|[\r\n]+")
+ENDED = (".", "!", "?", ".)", ".]", ".»", ".”", '."')
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of each sentence or line."""
     at = 0
-    for m in SENTENCE.finditer(text):
-        if m.start() > at:
-            yield at, m.start()
+    for m in STOP.finditer(text):
+        a, b = m.span()
+        if text[a] in "\r\n":
+            b = a
+        elif text[a - 1 : a].isdigit() or not text[max(at, a - 2) : a].isalpha() and text[a - 1 : a] not in ")]»”\"%":
+            continue
+        if text[at:b].strip():
+            yield at, b
         at = m.end()
-    if at < len(text):
+    if text[at:].strip():
         yield at, len(text)
 
 
-def read_text(text: str, scorer: Scorer) -> tuple[str | None, float, list[str], list[tuple[int, int, str, float]]]:
-    """(language, confidence, languages present, segments) of one text.
+def read_texts(texts: Sequence[str], scorer: Scorer) -> Iterator[tuple[str | None, float, list[str], list[tuple[int, int, str, float]]]]:
+    """(language, confidence, languages present, segments) of each text.
 
     A segment is a stretch of at least two consecutive sentences of one language, or the whole text where there
     is none; sentences without a clear lead belong to what is around them; headings, table rows and signatures
     neither make nor break a stretch.
     """
-    total = np.zeros(len(LANGS))
-    runs: list[list] = []  # [language, first, last, sentences, score]
-    for a, b in sentences(text):
-        part = text[a:b].strip()
-        v, n = scorer.scores(part)
-        if not n:
-            continue
-        total = total + v
-        if n < 3 or not ENDED.search(part):
-            continue
-        best = int(np.argmax(v))
-        if v[best] - np.partition(v, -2)[-2] < LEAD:
+    spans = [list(sentences(t)) for t in texts]
+    parts = [t[a:b].strip() for t, s in zip(texts, spans) for a, b in s]
+    score, words = scorer.scores(parts)
+    best = score.argmax(axis=1) if len(parts) else np.empty(0, np.int64)
+    two = np.partition(score, -2, axis=1)[:, -2:] if len(parts) else np.empty((0, 2))
+    clear = (words >= 3) & (two[:, 1] - two[:, 0] >= LEAD) & np.array([p.endswith(ENDED) for p in parts], dtype=bool)
+    at = 0
+    for t, s in zip(texts, spans):
+        z = at + len(s)
+        total = score[at:z].sum(axis=0)
+        if not words[at:z].any():
+            yield None, 0.0, [], []
+            at = z
             continue
-        if runs and runs[-1][0] == best:
-            runs[-1][2], runs[-1][3], runs[-1][4] = b, runs[-1][3] + 1, runs[-1][4] + v
-        else:
-            runs.append([best, a, b, 1, v])
-    if not total.any():
-        return None, 0.0, [], []
-    main = int(np.argmax(total))
-    kept: list[list] = []
-    for r in runs:
-        if r[3] >= 2:
-            if kept and kept[-1][0] == r[0]:
-                kept[-1][2], kept[-1][4] = r[2], kept[-1][4] + r[4]
+        kept: list[list] = []  # [language, first, last, score]
+        run: list | None = None
+        for (a, b), i in zip(s, range(at, z)):
+            if not clear[i]:
+                continue
+            if run is not None and run[0] == best[i]:
+                run[2], run[3], run[4] = b, run[3] + score[i], run[4] + 1
+                if run[4] == 2:
+                    if kept and kept[-1][0] == run[0]:
+                        kept[-1][2], kept[-1][3] = run[2], kept[-1][3] + run[3]
+                        run = [*kept.pop()[:4], 2]
+                    kept.append(run)
             else:
-                kept.append(r)
-    if not kept:
-        return LANGS[main], confidence(total), [LANGS[main]], [(0, len(text), LANGS[main], confidence(total))]
-    segments = [(r[1], r[2], LANGS[r[0]], confidence(r[4])) for r in kept]
-    return LANGS[main], confidence(total), sorted({s[2] for s in segments}), segments
+                run = [best[i], a, b, score[i], 1]
+        at = z
+        main = int(np.argmax(total))
+        if kept:
+            segments = [(r[1], r[2], LANGS[r[0]], confidence(r[3])) for r in kept]
+        else:
+            segments = [(0, len(t), LANGS[main], confidence(total))]
+        yield LANGS[main], confidence(total), sorted({x[2] for x in segments}), segments
 
 
 def model_for(documents: DataFrame, fit_rows: int = FIT_ROWS, vocabulary: str = VOCABULARY) -> Pieces:
@@ -272,7 +294,7 @@ def document_languages(documents: DataFrame, model: Pieces | None = None) -> Dat
     def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(Pieces(*shared.value))
         for pdf in batches:
-            rows = [read_text(t, scorer) for t in pdf["text"]]
+            rows = list(read_texts(pdf["text"].tolist(), scorer))
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "label": pdf["label"], "lang": [r[0] for r in rows], "confidence": [r[1] for r in rows], "langs": [r[2] for r in rows],
                 "segments": [[dict(zip(("first", "last", "lang", "confidence"), s)) for s in r[3]] for r in rows],
@@ -290,8 +312,7 @@ def page_languages(lines: DataFrame, model: Pieces) -> DataFrame:
     def add(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(Pieces(*shared.value))
         for pdf in batches:
-            s = [scorer.scores(t)[0] for t in pdf["text"]]
-            out = pd.DataFrame(np.array(s).reshape(len(s), len(LANGS)), columns=cols)
+            out = pd.DataFrame(scorer.scores(pdf["text"].tolist())[0], columns=cols)
             out.insert(0, "page_number", pdf["page_number"].to_numpy())
             out.insert(0, "file_name", pdf["file_name"].to_numpy())
             yield out.groupby(["file_name", "page_number"], as_index=False, sort=False).sum()
