@@ -18,8 +18,8 @@ from ..functions.norm import strip
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled documents of each language that are used for fitting, chosen by a hash of their id.
 FIT_ROWS = 800
-#: Rounds of expectation-maximisation, and of leaving out rows whose label the fitted model rejects.
-EM_ROUNDS, CLEAN_ROUNDS = 2, 2
+#: Rounds of expectation-maximisation.
+EM_ROUNDS = 2
 #: Added to every piece count; words longer than this are scored by their beginning.
 SMOOTH, LONGEST = 0.05, 30
 #: Words remembered by one task.
@@ -101,8 +101,11 @@ class Pieces:
 
 
 def _from_counts(pieces: dict[str, int], counts: np.ndarray) -> Pieces:
-    total = counts.sum(axis=1, keepdims=True) + SMOOTH * counts.shape[1]
-    return Pieces(pieces, np.log((counts + SMOOTH) / total).T.copy(), np.log(SMOOTH / total[:, 0]))
+    seen = counts.sum(axis=1, keepdims=True)
+    total = seen + SMOOTH * counts.shape[1]
+    logp = np.log((counts + SMOOTH) / total)
+    logp[seen[:, 0] == 0] = -25.0  # a language without a labelled text is never found
+    return Pieces(pieces, logp.T.copy(), np.minimum(np.log(SMOOTH / total[:, 0]), logp.max(axis=1)))
 
 
 def marked(word: str) -> str:
@@ -113,8 +116,9 @@ def marked(word: str) -> str:
 def fit(rows: Sequence[tuple[str, dict[str, int]]], vocabulary: str = VOCABULARY) -> Pieces:
     """Fit piece probabilities to (language, word counts) of labelled texts.
 
-    Starts from the vocabulary's own segmentation, then expectation-maximisation over all segmentations. After
-    each fit the rows that the model gives to another language are left out of the next, so wrong labels fade.
+    Starts from the vocabulary's own segmentation, then expectation-maximisation over all segmentations. First two
+    halves are fitted, and each judges the rows of the other; rows whose label the other half does not confirm are
+    left out of the final fit, so wrong labels don't shape it.
     """
     import sentencepiece
 
@@ -129,13 +133,12 @@ def fit(rows: Sequence[tuple[str, dict[str, int]]], vocabulary: str = VOCABULARY
     names = {i: p for p, i in vocab.items()}
     pieces = {names[k]: n for n, k in enumerate(sorted(inside | set(used)))}
     row_of = {k: n for n, k in enumerate(sorted(inside | set(used)))}
-    lang = np.array([LANGS.index(x) for x, _ in rows])
-    keep = np.ones(len(rows), dtype=bool)
+    lang = np.array([LANGS.index(x) for x, _ in rows], dtype=np.int64)
     sparse = [(np.array([at[w] for w in c], dtype=np.int64), np.array(list(c.values()), dtype=float)) for _, c in rows]
-    model = None
-    for _ in range(CLEAN_ROUNDS + 1):
+
+    def model_of(keep: np.ndarray) -> Pieces:
         weight = np.zeros((len(words), len(LANGS)))
-        for r in np.flatnonzero(keep):
+        for r in keep:
             np.add.at(weight[:, lang[r]], sparse[r][0], sparse[r][1])
         counts = np.zeros((len(LANGS), len(pieces)))
         for i, s in enumerate(split):
@@ -149,13 +152,18 @@ def fit(rows: Sequence[tuple[str, dict[str, int]]], vocabulary: str = VOCABULARY
                     for k, e in model.expected(w):
                         counts[:, k] += e * weight[i]
             model = _from_counts(pieces, counts)
-        score = np.array([model.forward(w) for w in words]) if words else np.zeros((0, len(LANGS)))
-        best = np.array([int(np.argmax(n @ score[i])) if len(i) else -1 for i, n in sparse])
-        again = best == lang
-        if (again == keep).all():
-            break
-        keep = again
-    return model
+        return model
+
+    def agree(model: Pieces, judged: np.ndarray) -> list[int]:
+        asked = sorted({int(i) for r in judged for i in sparse[r][0]})
+        score = np.zeros((len(words), len(LANGS)))
+        for i in asked:
+            score[i] = model.forward(words[i])
+        return [int(r) for r in judged if len(sparse[r][0]) and int(np.argmax(sparse[r][1] @ score[sparse[r][0]])) == lang[r]]
+
+    halves = [np.arange(h, len(rows), 2) for h in (0, 1)]
+    kept = sorted(agree(model_of(halves[0]), halves[1]) + agree(model_of(halves[1]), halves[0]))
+    return model_of(np.array(kept, dtype=np.int64))
 
 
 def labelled_rows(documents: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[str, dict[str, int]]]:
