@@ -69,3 +69,12 @@ def size_report(assigned: DataFrame) -> DataFrame:
 def members(assigned: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents of clusters with id > 0 with their metadata."""
     return assigned.where("cluster_id > 0").join(docs, "doc_id")
+
+
+def labelled_evaluation(assigned: DataFrame, truth: DataFrame, by_subcluster: bool = False) -> DataFrame:
+    """One row with the mean pair index of (id, cluster_id, subcluster) against truth (id, cluster, subcluster).
+
+    by_subcluster compares cluster * 1000 + subcluster on both sides.
+    """
+    key = (lambda c: F.col(c) * 1000 + F.coalesce("subcluster", F.lit(0))) if by_subcluster else F.col
+    return mean_pair_index(assigned.select("id", key("cluster_id").alias("cluster")), truth.select("id", key("cluster").alias("cluster")))

@@ -1,5 +1,8 @@
 """Sources, sinks, models and the streaming append."""
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pagewright.operators import similarity
@@ -64,3 +67,54 @@ def test_stream_equals_batch(spark, tmp_path):
     stream_append(spark, str(tmp_path / "in"), SCHEMA, clusters, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).select("id", "cluster_id", F.col("score"))
     assert sorted(map(tuple, got.collect())) == want
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+class FakeReader:
+    """Pages are separated by form feeds, words by blanks; 'bad' can't be read."""
+
+    def pages(self, content, password=None):
+        if content == b"bad":
+            raise ValueError("unreadable")
+        return len(content.decode().split("\f")) if content else 0
+
+    def read(self, content, first, last):
+        for n, page in enumerate(content.decode().split("\f"), 1):
+            if first <= n <= last:
+                words = [{"page_number": n, "block_num": 1, "line_num": 0, "word_num": i, "text": w, "left_px": 10.4 * i, "top_px": 5.0, "width_px": 9.0, "height_px": 10.0, "level": 5, "conf": 90.0} for i, w in enumerate(page.split(" "))]
+                yield {"page_number": n, "page_width": 600.0, "page_height": 800.0, "angle": 0, "language": "eng", "lang_confidence": 0.9, "encrypted": "N", "html": f"<p>{page}</p>"}, words
+
+
+def test_reader_interface(spark):
+    from pagewright.functions.layout import assemble_lines
+    from pagewright.sources import reader
+
+    files_df = spark.createDataFrame([("f", b"one two\fthree\ffour"), ("g", b"bad"), ("h", b"")], "file_name string, content binary")
+    got = reader.read_files(files_df, FakeReader, window=2)
+    assert sorted(r["file_name"] for r in got.where("kind = 'error'").collect()) == ["g", "h"]
+    words = reader.tidy_words(got.where("kind = 'word'").select("word.*"))
+    pages = got.where("kind = 'page'").select("page.*")
+    assert sorted((r["page_number"], r["text"]) for r in assemble_lines(words).collect()) == [(1, "one two"), (2, "three"), (3, "four")]
+    rec = reader.page_records(pages, words).orderBy("page_number").collect()
+    assert [(r["orientation"], r["content_type"]) for r in rec] == [("P", "R")] * 3
+
+
+def test_vocabulary_files(spark, tmp_path):
+    from pagewright.sources import reader
+
+    (tmp_path / "a.json").write_text('{"Maison<n>": 1, "chat": 2}')
+    (tmp_path / "b.txt").write_text("house\n\ncat\ncat\n")
+    assert sorted(r["token"] for r in reader.read_vocabulary(spark, str(tmp_path / "a.json"), "fra", json=True).collect()) == ["chat", "maison"]
+    assert sorted(r["token"] for r in reader.read_vocabulary(spark, str(tmp_path / "b.txt"), "eng").collect()) == ["cat", "house"]
+    assert set(reader.output_paths("/x/")) == {"text", "bbox", "format", "page_info", "doc_info"}
+
+
+def test_labelled_evaluation(spark):
+    from pagewright.operators.evaluate import labelled_evaluation
+
+    a = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 2, 0)], "id long, cluster_id long, subcluster int")
+    t = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 2, 0)], "id long, cluster long, subcluster int")
+    assert labelled_evaluation(a, t).first()[0] == 1.0
+    assert round(labelled_evaluation(a, t, True).first()[0], 6) == round((0.5 + 0.5 + 1) / 3, 6)
