@@ -17,28 +17,31 @@ def totals(features: DataFrame) -> DataFrame:
     return features.groupBy("id").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
 
 
-def pair_overlaps(features: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def pair_overlaps(features: DataFrame, num: int, den: int, block: int = BLOCK, across: str | None = None) -> DataFrame:
     """(a, b, shared, total_a, total_b), a < b: pairs whose shared weight reaches num/den of their mean weight.
 
+    across: a boolean column that divides the records; only pairs of a false one (a) and a true one (b) are formed.
+
     features: (id, feature, weight), one row for each feature of a record. Score 2 * shared / (total_a + total_b).
     A pair that reaches num/den shares at least num/(2 den - num) of either side's weight, so only the rarest features
     that leave less than this behind are join keys (weighted prefix filter); long lists of one feature are cut into
     blocks. All weights then count in the exact sum.
     """
-    f = cut(features.select("id", "feature", "weight"), "weighted")
+    f = cut(features.select("id", "feature", "weight", (F.lit(False) if across is None else F.col(across)).alias("side")), "weighted")
     counts = cut(f.groupBy("feature").agg(F.count("*").alias("n")), "counts")
     f = hot_join(f, counts.select("feature", F.col("n").alias("df")), "feature", counts=counts)
     w = W.partitionBy("id").orderBy(F.desc("df"), F.desc("feature"))
     f = f.withColumn("behind", F.sum("weight").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(W.partitionBy("id")))
     f = cut(f, "ranked")
-    p = f.where((F.col("df") > 1) & (F.col("behind") * (2 * den - num) >= F.col("total") * num)).select("id", "feature", "total")
+    p = f.where((F.col("df") > 1) & (F.col("behind") * (2 * den - num) >= F.col("total") * num)).select("id", "feature", "total", "side")
     pc = p.groupBy("feature").agg(F.count("*").alias("n"))
     hot = hot_keys(pc, least=block).select("feature", F.ceil(F.col("n") / block).cast("int").alias("nb"))
     p = p.join(F.broadcast(hot), "feature", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
-    a = p.select("feature", F.pmod(F.xxhash64("id"), "nb").cast("int").alias("blk"), F.col("id").alias("a"), F.col("total").alias("ta"))
-    b = p.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("feature", "blk", F.col("id").alias("b"), F.col("total").alias("tb"))
+    left, right = (p, p) if across is None else (p.where("not side"), p.where("side"))
+    a = left.select("feature", F.pmod(F.xxhash64("id"), "nb").cast("int").alias("blk"), F.col("id").alias("a"), F.col("total").alias("ta"))
+    b = right.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("feature", "blk", F.col("id").alias("b"), F.col("total").alias("tb"))
     # the heavier side can hold no more than the lighter in common
-    fits = (2 * den * F.least("ta", "tb") >= num * (F.col("ta") + F.col("tb"))) & (F.col("a") < F.col("b"))
+    fits = (2 * den * F.least("ta", "tb") >= num * (F.col("ta") + F.col("tb"))) & (F.lit(True) if across else F.col("a") < F.col("b"))
     pairs = cut(a.join(b, ["feature", "blk"]).where(fits).select("a", "b").distinct(), "candidates")
     sets = f.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("m"), F.first("total").alias("total"))
     sets = cut(sets, "sets")
@@ -71,9 +74,9 @@ def cluster_scores(features: DataFrame, clusters: DataFrame, num: int, den: int)
     clusters: (cluster_id, feature, weight, df, n). Contributions are at most 1, so the shared weight must reach the
     threshold alone: the weighted prefix filter finds every candidate. The compare is done in whole numbers.
     """
-    tag = lambda df, c, t: df.select(F.concat(F.lit(t), F.col(c).cast("string")).alias("id"), "feature", "weight")
+    tag = lambda df, c, t: df.select(F.concat(F.lit(t), F.col(c).cast("string")).alias("id"), "feature", "weight", F.lit(t == "d").alias("is_doc"))
     both = tag(features, "id", "d").unionByName(tag(clusters, "cluster_id", "c"))
-    near = pair_overlaps(both, num, den).where("left(a, 1) = 'c' and left(b, 1) = 'd'")
+    near = pair_overlaps(both, num, den, across="is_doc")
     near = near.select(F.expr("cast(substr(a, 2) as bigint)").alias("cluster_id"), F.expr("cast(substr(b, 2) as bigint)").alias("id"), F.col("total_a").alias("wc"), F.col("total_b").alias("wd"))
     s = near.join(features.select("id", "feature"), "id").join(clusters, ["cluster_id", "feature"])
     s = s.groupBy("id", "cluster_id", "wc", "wd", "n").agg(F.sum(F.col("weight") * F.col("df")).alias("s"))
