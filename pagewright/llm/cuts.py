@@ -35,10 +35,11 @@ def ended(line: Column) -> Column:
 def shape(line: Column) -> Column:
     """The line without case and accents, numbers as 0, dates as <d>, company names as <x>."""
     s = F.translate(F.lower(line), *ACCENTS)
-    s = F.regexp_replace(s, r"\d+(?:[.,'\x{A0}\x{202F} ]\d+)*", "0")
-    s = F.regexp_replace(s, r"(?U)\b0\.? (?:de )?\p{L}+ (?:de )?0\b", "<d>")
-    s = F.regexp_replace(s, rf"(?U)[\p{{L}}'-]+ {FORMS}(?=\W|$)", "<x>")
-    return F.regexp_replace(s, r"(?U)\s+", " ")
+    s = F.when(s.rlike(r"[0-9]"), F.regexp_replace(s, r"[0-9]+(?:[.,'\x{A0}\x{202F} ][0-9]+)*", "0")).otherwise(s)
+    s = F.regexp_replace(s, r"\b0\.? (?:de )?[a-zßœ]++ (?:de )?0\b", "<d>")
+    # the name is the word before a legal form: whole words only, so no word is tried twice
+    s = F.regexp_replace(s, rf"(?<![\p{{L}}'-])[\p{{L}}'-]++ {FORMS}(?![\p{{L}}\d_])", "<x>")
+    return F.regexp_replace(s, r"[ \t\x{A0}]{2,}|[\t\x{A0}]", " ")
 
 
 def prefixes_of_longer(texts: DataFrame) -> DataFrame:
