@@ -34,7 +34,7 @@ def ended(line: Column) -> Column:
 
 def shape(line: Column) -> Column:
     """The line without case and accents, numbers as 0, dates as <d>, company names as <x>."""
-    s = F.translate(F.lower(line), *ACCENTS)
+    s = F.when(F.octet_length(line) == F.length(line), F.lower(line)).otherwise(F.translate(F.lower(line), *ACCENTS))
     s = F.when(s.rlike(r"[0-9]"), F.regexp_replace(s, r"[0-9]+(?:[.,'\x{A0}\x{202F} ][0-9]+)*", "0")).otherwise(s)
     s = F.regexp_replace(s, r"\b0\.? (?:de )?[a-zßœ]++ (?:de )?0\b", "<d>")
     # the name is the word before a legal form: whole words only, so no word is tried twice
