@@ -12,11 +12,7 @@ MOST_HOT = 2000
 def hot_keys(counts: DataFrame, n: str = "n", share: int = MOST_HOT, least: int = 10_000) -> DataFrame:
     """Rows of counts whose n is above total/share and above least: at most share rows, whatever the data."""
     total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("_total"))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .where((F.col(n) > least) & (F.col(n) * share > F.col("_total")))
-        .drop("_total")
-    )
+    return counts.where((F.col(n) > least) & (F.col(n) * share > total.scalar()))
 
 
 def hot_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None, least: int = 10_000) -> DataFrame:
