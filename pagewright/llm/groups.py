@@ -65,14 +65,13 @@ def group_ids(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = ROUNDS
     if rows:
         out = both.join(F.broadcast(seen) if n <= BROADCAST_ROWS else seen, "v", "left_semi")
         out = out.withColumnRenamed("v", "w").withColumnRenamed("u", "v").join(F.broadcast(seen) if n <= BROADCAST_ROWS else seen, "v", "left_anti")
-        rest = rest.unionByName(out.select("v").distinct().crossJoin(F.broadcast(start)).select(F.col("start").alias("a"), F.col("v").alias("b")))
+        rest = rest.unionByName(out.select("v").distinct().select(start.scalar().alias("a"), F.col("v").alias("b")))
     small = connected_components(rest)
-    giant = seen.crossJoin(F.broadcast(start)).select("v", F.col("start").alias("label"))
     if not rows:
-        return giant.unionByName(small)
+        return seen.select("v", start.scalar().alias("label")).unionByName(small)
     # the label of the contracted vertex holds for all that was reached
-    up = small.join(F.broadcast(start), F.col("v") == F.col("start")).select("start", F.col("label").alias("l2"))
-    giant = giant.join(F.broadcast(up), giant["label"] == up["start"], "left").select("v", F.coalesce("l2", "label").alias("label"))
+    up = small.where(F.col("v") == start.scalar()).select("label")
+    giant = seen.select("v", F.coalesce(up.scalar(), start.scalar()).alias("label"))
     return giant.unionByName(small.join(seen, "v", "left_anti"))
 
 

@@ -126,4 +126,4 @@ def report(documents: DataFrame) -> DataFrame:
     per = p.groupBy("container_id").agg(F.sum("tokens").alias("t"))
     a = per.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.round(F.avg("t") / TOKENS, 6).alias("mean_fill"), F.round(F.min("t") / TOKENS, 6).alias("least_fill"))
     b = p.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("documents"), F.count(F.when(F.col("n") > 1, 1)).alias("divided"))
-    return a.crossJoin(b).withColumn("least_containers", F.ceil(F.col("tokens") / TOKENS))
+    return a.select("*", b.select("documents").scalar().alias("documents"), b.select("divided").scalar().alias("divided"), F.ceil(F.col("tokens") / TOKENS).alias("least_containers"))
