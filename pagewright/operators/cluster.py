@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,7 +14,7 @@ from .graph import connected_components
 from .similarity import cluster_scores, contributions, pair_overlaps, soft_matches, totals
 from .skew import hot_join
 
-#: Features up to which a document is noise; documents one task clusters in sequence.
+#: Features up to which a document is noise; documents of a block.
 NOISE, BLOCK = 5, 2_000
 
 
@@ -107,8 +107,7 @@ def leader_blocks(features: DataFrame, num: int = 83, den: int = 100, best: bool
     hash parts, so no task holds more than a block whatever the data; alike clusters of different blocks are left to
     merge_clusters, as they are in a parallel run of the sequential algorithm.
     """
-    docs = features.groupBy("id").agg(F.collect_list(F.struct("feature", "weight")).alias("fs")).withColumn("k", F.size("fs"))
-    docs = cut(docs, "docs")
+    docs = _documents(features)
     n = docs.where(F.col("k") > NOISE).count()
     parts = max(1, -(-n // block))
 
@@ -124,14 +123,79 @@ def leader_blocks(features: DataFrame, num: int = 83, den: int = 100, best: bool
     return big.unionByName(noise)
 
 
-def leader_clusters(features: DataFrame, num: int = 83, den: int = 100, best: bool = False, block: int = BLOCK) -> DataFrame:
-    """(id, cluster_id, distance): blocks numbered through by their smallest document, noise in cluster 0.
+def _documents(features: DataFrame) -> DataFrame:
+    """(id, fs, k): the features of each document in one row, in one order for all."""
+    docs = features.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("feature", "weight"))).alias("fs"))
+    return cut(docs.withColumn("k", F.size("fs")), "docs")
 
-    cluster_id is the smallest id of the cluster's documents: unique over all blocks without counting through them.
+
+def leader_scopes(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """(id, fs, scope): documents in the scopes within which leader clustering is independent; null alone.
+
+    A document's similarity to a cluster is at most its mean similarity to the cluster's documents (contributions are
+    their mean, and the cluster weighs no less than any of them), so it reaches the threshold only if it does with one
+    of them: no cluster leaves a component of the graph of alike documents. Exact copies are one vertex. A feature may
+    weigh differently in different documents: its largest weight counts as shared, its smallest in totals.
+    """
+    vertices = cut(docs.groupBy("fs").agg(F.min("id").alias("v"), F.count("*").alias("copies")), "vertices")
+    flat = vertices.select("v", F.explode("fs").alias("x")).select(F.col("v").alias("id"), "x.feature", "x.weight")
+    span = flat.groupBy("feature").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
+    varies = span.where("low < high")
+    flat = flat.join(varies, "feature", "left").select("id", "feature", F.coalesce("high", "weight").alias("weight"), F.coalesce("low", "weight").alias("low"))
+    flat = cut(flat, "flat")
+    least = flat.groupBy("id").agg(F.sum("low").alias("least"), F.sum("weight").alias("most"))
+    least = cut(least, "least")
+    loose = least.where("least < most").select("id")
+    # the few records with such features are looked up among all at the lower threshold that this may ask for
+    share = least.agg(F.min(F.floor(F.col("least") * 1000 / F.col("most"))).alias("r")).first()["r"]
+    near = pair_overlaps(flat, num, den).select("a", "b", "shared")
+    if share is not None and share < 1000:
+        share = int(share)
+        tagged = lambda df, side: df.select((F.col("id") * 2 + int(side)).alias("id"), "feature", "weight", F.lit(side).alias("side"))
+        few = flat.join(loose, "id", "left_semi")
+        more = pair_overlaps(tagged(flat, False).unionByName(tagged(few, True)), num * share, den * 1000, across="side")
+        near = near.unionByName(more.select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b"), "shared").where("a <> b"))
+    t = lambda c: least.select(F.col("id").alias(c), F.col("least").alias(f"least_{c}"))
+    near = near.join(t("a"), "a").join(t("b"), "b").where(2 * den * F.col("shared") >= num * (F.col("least_a") + F.col("least_b")))
+    scope = connected_components(near).select("v", F.col("label").alias("scope"))
+    to = cut(vertices.join(scope, "v", "left").select("fs", "scope"), "scopes")
+    return docs.select("id", "fs").join(to, "fs")
+
+
+def leader_clusters(features: DataFrame, num: int = 83, den: int = 100, best: bool = False, block: int | None = None) -> DataFrame:
+    """(id, cluster_id, distance): leader clustering of all documents in the order of ids, noise in cluster 0.
+
+    cluster_id is the smallest id of the cluster's documents. The clusters are those of one sequential pass, whatever
+    the number of documents: the pass runs scope by scope (leader_scopes), each a sorted stream of which a task holds
+    only the clusters. With block, documents are clustered in hash parts instead, for merge_clusters to unite.
     """
-    b = cut(leader_blocks(features, num, den, best, block), "leader")
-    first = b.where("local >= 0").groupBy("block", "local").agg(F.min("id").alias("cluster_id"))
-    return b.join(first, ["block", "local"], "left").select("id", F.coalesce("cluster_id", F.lit(0)).cast("long").alias("cluster_id"), "distance")
+    if block is not None:
+        b = cut(leader_blocks(features, num, den, best, block), "leader")
+        first = b.where("local >= 0").groupBy("block", "local").agg(F.min("id").alias("cluster_id"))
+        return b.join(first, ["block", "local"], "left").select("id", F.coalesce("cluster_id", F.lit(0)).cast("long").alias("cluster_id"), "distance")
+    docs = _documents(features)
+    scoped = cut(leader_scopes(docs.where(F.col("k") > NOISE), num, den), "scoped")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, lead, first = None, Leader(num, den, best), []
+        for pdf in batches:
+            out = []
+            for i, scope, fs in zip(pdf["id"], pdf["scope"], pdf["fs"]):
+                if scope != at:
+                    at, lead, first = scope, Leader(num, den, best), []
+                c, distance = lead.add({x["feature"]: int(x["weight"]) for x in fs})
+                if c == len(first):
+                    first.append(i)
+                out.append((i, first[c], distance))
+            yield pd.DataFrame(out, columns=["id", "cluster_id", "distance"])
+
+    many = scoped.where("scope is not null").repartition("scope").sortWithinPartitions("scope", "id").select("id", "scope", "fs")
+    many = many.mapInPandas(run, "id long, cluster_id long, distance double")
+    # documents that are like none but their exact copies
+    alone = scoped.where("scope is null")
+    alone = alone.join(alone.groupBy("fs").agg(F.min("id").alias("cluster_id")), "fs").select("id", "cluster_id", F.lit(1.0).alias("distance"))
+    noise = docs.where(F.col("k") <= NOISE).select("id", F.lit(0).cast("long").alias("cluster_id"), F.lit(0.0).alias("distance"))
+    return many.unionByName(alone).unionByName(noise)
 
 
 # ---- merging ---------------------------------------------------------------------------------------------------

@@ -199,6 +199,26 @@ def test_leader_against_plain_loop(spark):
     assert blocks.count() == len(sets)
 
 
+@pytest.mark.parametrize("best", [False, True])
+def test_leader_above_a_block_is_one_pass(spark, best):
+    rng = random.Random(7)
+    n = cluster.BLOCK + 300
+    sets = {i: {f"a{k}": 1 for k in range(10)} for i in range(1, n, 2)}  # one family, some with a feature more or less
+    for i in range(1, n, 10):
+        sets[i] = {f"a{k}": 1 for k in range(9)} | {"x": 1}
+    for i in range(0, n, 2):  # looser chains, some features of unequal weight
+        at = rng.randrange(150)
+        sets[i] = {f"b{at + k}": (4 if k == 3 and rng.random() < 0.5 else 1) for k in range(8)}
+    lead, first, want = cluster.Leader(83, 100, best), [], {}
+    for i in sorted(sets):
+        c, distance = lead.add(sets[i])
+        first += [i] if c == len(first) else []
+        want[i] = (first[c], distance)
+    got = {r["id"]: (r["cluster_id"], r["distance"]) for r in cluster.leader_clusters(weighted(spark, sets), best=best).collect()}
+    assert got == want
+    assert {got[i][0] for i in range(1, n, 2)} == {1}
+
+
 def test_subclusters_soft_values(spark):
     cols = "id long, feature string, level string, value double, weight int"
     f = spark.createDataFrame([(1, "xPos_100", "subcluster", 100.0, 1), (2, "xPos_105", "subcluster", 105.0, 1), (3, "xPos_200", "subcluster", 200.0, 1)], cols)
