@@ -312,23 +312,24 @@ class SubLeader:
         return at, best
 
 
-def subclusters(features: DataFrame, assigned: DataFrame, threshold: float = 0.7, block: int = BLOCK) -> DataFrame:
-    """(id, cluster_id, part, subcluster, distance): each cluster divided by layout features.
+def subclusters(features: DataFrame, assigned: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(id, cluster_id, part, subcluster, distance): each cluster divided by layout features, in the order of ids.
 
-    features: (id, feature, level, value, weight). Clusters above `block` documents are cut into hash parts, each
-    divided on its own, so a cluster of any size is never held by one task; subcluster counts from 0 in each part.
+    features: (id, feature, level, value, weight). A cluster of any size is one sorted stream, of which a task holds
+    only the sub-clusters; subcluster counts from 0 in each cluster, and part is always 0.
     """
     f = features.where("level = 'subcluster'").groupBy("id").agg(F.collect_list(F.struct("feature", "weight", "value")).alias("fs"))
-    a = assigned.where("cluster_id <> 0").select("id", "cluster_id")
-    size = a.groupBy("cluster_id").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    docs = hot_join(a, size, "cluster_id").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).join(f, "id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lead = SubLeader(threshold)
-        pdf = pdf.sort_values("id")
-        got = [lead.add({x["feature"]: (int(x["weight"]), x["value"]) for x in (fs if fs is not None else [])}) for fs in pdf["fs"]]
-        return pd.DataFrame({"id": pdf["id"], "cluster_id": pdf["cluster_id"], "part": pdf["part"], "subcluster": [g[0] for g in got], "distance": [g[1] for g in got]})
-
-    return docs.select("id", "cluster_id", "part", "fs").groupBy("cluster_id", "part").applyInPandas(run, "id long, cluster_id long, part int, subcluster int, distance double")
-
+    docs = assigned.where("cluster_id <> 0").select("id", "cluster_id").join(f, "id", "left")
 
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, lead = None, SubLeader(threshold)
+        for pdf in batches:
+            out = []
+            for i, c, fs in zip(pdf["id"], pdf["cluster_id"], pdf["fs"]):
+                if c != at:
+                    at, lead = c, SubLeader(threshold)
+                out.append((i, c, 0, *lead.add({x["feature"]: (int(x["weight"]), x["value"]) for x in (fs if fs is not None else [])})))
+            yield pd.DataFrame(out, columns=["id", "cluster_id", "part", "subcluster", "distance"])
+
+    docs = docs.select("id", "cluster_id", "fs").repartition("cluster_id").sortWithinPartitions("cluster_id", "id")
+    return docs.mapInPandas(run, "id long, cluster_id long, part int, subcluster int, distance double")

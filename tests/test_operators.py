@@ -229,6 +229,14 @@ def test_subclusters_soft_values(spark):
     assert {(r["a"], r["b"]) for r in m.collect()} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
 
 
+def test_subclusters_of_a_cluster_above_a_block(spark):
+    ids = spark.range(1, cluster.BLOCK + 2)
+    f = ids.select("id", F.explode(F.array(*[F.lit(f"xPos_{v}") for v in (100, 200, 300)])).alias("feature"), F.lit("subcluster").alias("level"))
+    f = f.withColumn("value", F.substring_index("feature", "_", -1).cast("double")).withColumn("weight", F.lit(1))
+    got = cluster.subclusters(f, ids.withColumn("cluster_id", F.lit(1).cast("long")))
+    assert got.count() == cluster.BLOCK + 1 and got.select("cluster_id", "part", "subcluster").distinct().count() == 1
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=30))
 def test_components_are_those_of_union_find(spark, edges):
