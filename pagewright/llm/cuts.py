@@ -98,25 +98,39 @@ def judged(documents: DataFrame) -> DataFrame:
     tail = tail.withColumn("words", F.split("g", " ")).withColumn("k", F.size("words"))
     tail = cut(tail.withColumn("running", (F.col("k") > START_WORDS) | F.col("last").rlike(r"(?U)\p{Ll}{3,}[.!?]\s+\p{Lu}")), "tails")
     # lines of the corpus: how many stand alone, and how many go on after each of their beginnings
-    every = lines.select(F.explode(F.concat("before", F.array("last"))).alias("line"))
-    per = cut(every.select(shape(F.col("line")).alias("g")).groupBy("g").agg(F.count("*").alias("n")), "shapes")
+    every = lines.select(F.posexplode(F.concat("before", F.array("last"))).alias("i", "line"), F.size("before").alias("at"))
+    per = every.select(shape(F.col("line")).alias("g"), (F.col("i") == F.col("at")).cast("int").alias("final"))
+    per = cut(per.groupBy("g").agg(F.count("*").alias("n"), F.sum("final").alias("final")), "shapes")
     short = tail.where("not running")
-    alone = per.select("g", F.col("n").alias("alone"))
+    alone = per.select("g", F.col("n").alias("alone"), "final")
     begins = per.withColumn("w", F.split("g", " ")).select(
         "n", F.explode(F.expr(f"transform(sequence(1, greatest(1, least(size(w) - 1, {START_WORDS}))), i -> struct(array_join(slice(w, 1, i), ' ') as b, size(w) > i as more))")).alias("x")
     ).where("x.more").groupBy(F.col("x.b").alias("b")).agg(F.sum("n").alias("goes_on"))
     asked = short.select(F.explode(F.array("g", F.expr("array_join(slice(words, 1, k - 1), ' ')"))).alias("b")).distinct()
     begins = cut(begins.join(asked, "b", "left_semi"), "begins")
     keys = short.select("g", F.expr("array_join(slice(words, 1, k - 1), ' ')").alias("but_last"), "k").distinct()
+    keys = cut(keys, "keys")
+    # lines that begin with the same letters and go on inside the last word
+    word = per.withColumn("w", F.split("g", " ")).select(
+        "n", F.explode(F.expr(f"transform(sequence(1, least(size(w), {START_WORDS})), i -> struct(array_join(slice(w, 1, i - 1), ' ') as but_last, w[i - 1] as word))")).alias("x")
+    ).groupBy("x.but_last", "x.word").agg(F.sum("n").alias("n")).where("length(word) > 1").join(keys.select("but_last").distinct(), "but_last", "left_semi")
+    within = word.select("but_last", "n", "word", F.explode(F.expr("sequence(1, length(word) - 1)")).alias("j")).where(F.expr("substr(word, j + 1, 1)").rlike(r"\p{L}"))
+    within = within.select(F.expr("if(but_last = '', substr(word, 1, j), concat(but_last, ' ', substr(word, 1, j)))").alias("g"), "n")
+    within = within.join(keys.select("g"), "g", "left_semi").groupBy("g").agg(F.sum("n").alias("within"))
     keys = (
         keys.join(alone, "g", "left")
         .join(begins.select(F.col("b").alias("g"), F.col("goes_on").alias("more")), "g", "left")
         .join(begins.select(F.col("b").alias("but_last"), F.col("goes_on").alias("near")), "but_last", "left")
-        .na.fill(0, ["alone", "more", "near"])
+        .join(within, "g", "left")
+        .na.fill(0, ["alone", "final", "more", "near", "within"])
     )
-    known = (F.col("alone") >= 2) & (F.col("alone") * ALONE >= F.col("more"))
+    # last lines of other texts may be cut at the same letter: they count only if the line is seen to go on with another
+    # word, or never or seldom goes on inside its last one
+    whole = (F.col("more") > 0) | (F.col("final") > F.col("within"))
+    keys = keys.withColumn("alone", F.when(whole, F.col("alone")).otherwise(F.col("alone") - F.col("final")))
+    known = (F.col("alone") >= 2) & (F.col("alone") * ALONE >= F.col("more") + F.col("within"))
     closing = (F.col("k") <= 6) & F.col("g").rlike(r"(?:^| )(?:<x>|<d>|0)$")
-    goes = (F.col("more") > 0) | (F.col("near") > F.col("alone"))
+    goes = (F.col("more") > 0) | (F.greatest("near", "within") > F.col("alone"))
     open_end = ~known & (goes | ((F.col("k") > 4) & ~closing))
     shapes_cut = keys.where(open_end).select("g").distinct()
     by_tail = tail.where("running").select("h").unionByName(short.join(cut(shapes_cut, "open"), "g", "left_semi").select("h")).withColumn("tail", F.lit(True))

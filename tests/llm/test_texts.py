@@ -268,6 +268,13 @@ def test_cut_texts(spark):
     assert cuts.found(d.where("false")).count() == 0 and cuts.sources(d.where("false")).count() == 0
 
 
+def test_same_cut_inside_a_word_of_several_texts(spark):
+    s = "The company has approved the annual accounts of the year."
+    rows = [(i, f"{s}\nThe statutory auditor {i}\nThe statutory auditors have examined item number {i}.\nThe board of managers") for i in range(40)]
+    cut = {100 + i: f"{s} Number {i}.\nThe statutory audi" for i in range(3)}
+    assert {r["doc_id"] for r in cuts.found(docs(spark, [*rows, *cut.items()])).collect()} == set(cut)
+
+
 def test_prefixes_over_partition_bounds(spark):
     rng = random.Random(7)
     texts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(150)}
