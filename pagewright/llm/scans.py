@@ -91,15 +91,17 @@ def furniture(lines: DataFrame, page_info: DataFrame) -> DataFrame:
     inner = by_shape.where(F.col("e") < 0.5 * F.col("n")).select("g")  # headings and phrases of the body
     again = edges.where(F.size(F.split("s", r"\s+")) <= 8).join(back, ["file_name", "k"], "left_semi").join(inner, "g", "left_anti").where(~F.col("s").rlike(r"(?U)\p{Ll}[.;:,]$")).select(*keys, "k")
     sure = cut(exact.unionByName(again).distinct(), "headers")
-    models = sure.groupBy("file_name", "k").agg(F.count("*").alias("n"))
-    models = models.withColumn("r", F.row_number().over(W.partitionBy("file_name").orderBy(F.desc("n"), "k"))).where("r <= 8")
-    models = models.groupBy("file_name").agg(F.array_sort(F.collect_list("k")).alias("models"))
-    open_ = edges.join(sure.select(*keys), keys, "left_anti").join(models, "file_name", "left")
+    # every running line of a file is a model for its misread heads; lengths within the distance allowed are compared
+    off = F.greatest(F.lit(2), F.floor(F.length("m") * 0.2).cast("int"))
+    models = sure.select("file_name", F.col("k").alias("m")).distinct().withColumn("off", off)
+    models = models.withColumn("len", F.explode(F.sequence(F.length("m") - F.col("off"), F.length("m") + F.col("off"))))
+    open_ = edges.join(sure.select(*keys), keys, "left_anti")
+    misread = open_.select("file_name", "k", F.length("k").alias("len")).distinct().join(models, ["file_name", "len"])
+    misread = misread.where(F.levenshtein("k", "m") <= F.col("off")).select("file_name", "k").distinct()
     long = [m for m in masks if len(re.sub(r"<x>|[\W\d]", "", m)) >= 8]
-    near_file = F.exists(F.coalesce("models", F.array().cast("array<string>")), lambda m: F.levenshtein(F.col("k"), m) <= F.greatest(F.lit(2), F.floor(F.length(m) * 0.2).cast("int")))
     near_mask = reduce(lambda a, m: a | (F.levenshtein(F.col("g"), F.lit(m)) <= 2), long, F.lit(False))
     tail = reduce(lambda a, m: a | F.col("g").endswith(m), [m.split("<x>")[-1] for m in long if m.startswith("<x> - ")], F.lit(False))
-    near = open_.where(near_file | near_mask | tail).select(*keys)
+    near = open_.where(near_mask | tail).select(*keys).unionByName(open_.join(misread, ["file_name", "k"], "left_semi").select(*keys))
     header = sure.select(*keys).unionByName(near).distinct().withColumn("kind", F.lit("header"))
     bare = t.where((F.col("x") > 1000) & F.col("s").rlike(r"^[\W\d]*\d[\W\d]*$") & ~F.col("s").rlike(r"^\d[\d., ]*\.$")).select(*keys, F.lit("number").alias("kind"))
     kinds = header.unionByName(pageno).unionByName(bare)

@@ -156,6 +156,15 @@ def test_scan_noise(spark):
     assert scans.found(lines, pages, d.where("false")).count() > 0
 
 
+def test_misread_heads_of_a_file_with_many(spark):
+    lines, pages, d = scan_fixture(spark)
+    heads = [f"{x} chapter of accounts" for x in "Alpha Bravo Delta Foxtrot Hotel India Kilo Lima Oscar Tango Zulu".split()]
+    tops = [h for h in heads for _ in range(2)] + [h.replace("chapter of acc", "chapt3r of a3c") for h in heads]
+    rows = [("z", p, i, x, 230, 100 + 60 * i, 1630, 140 + 60 * i, 1.0, 40.0, 40.0) for p, h in enumerate(tops, 1) for i, x in enumerate((h, "The board has approved the accounts.", "The interest accrued."))]
+    got = scans.found(lines.select(*spark.createDataFrame([], LINES).columns).unionByName(spark.createDataFrame(rows, LINES)), pages, d)
+    assert {r["page_number"] for r in got.where("file_name = 'z' and kind = 'header' and line_number = 0").collect()} == set(range(1, len(tops) + 1))
+
+
 # ---- problem 8 -------------------------------------------------------------------------------------------------
 
 
