@@ -9,79 +9,55 @@ from pyspark.sql import Window as W
 from ..operators.graph import roots
 from ..operators.skew import hot_join
 from ..session import cut
-from .setjoin import classes, feature_sets, prefixes, similar_classes
+from .setjoin import classes, feature_sets, meet
 
-#: Similarity from which a denser record counts as a neighbour, and rounds against block leaders.
-NEAR, LEADER_ROUNDS = (1, 2), 2
+#: Similarity from which two records are neighbours.
+NEAR = (1, 2)
 #: Typical members named for each cluster.
 TYPICAL = 3
 
 
 def densities(recs: DataFrame) -> DataFrame:
-    """Prefix rows (tok, pos, class_id, k, toks, w, rho), tokens with a single record left out.
+    """recs with rho, the local density: the records of similarity >= NEAR, the record itself and all copies counted.
 
-    rho, the local density, is the number of records (copies counted) met in the blocks of a record, a block
-    being the records that share one of its rare tokens; any neighbour of similarity NEAR is met in at least one.
+    Neighbours come from the exact blocked join. A neighbour's copies are added up where the pair is met, so only sums
+    are shuffled, not pairs.
     """
-    p = cut(prefixes(recs, *NEAR).join(recs.select("class_id", "w"), "class_id"), "prefix")
-    mass = cut(p.groupBy("tok").agg(F.sum("w").alias("mass"), F.count("*").alias("n")), "mass")
-    p = hot_join(p, mass, "tok", counts=mass.select("tok", "n"))
-    rho = p.groupBy("class_id").agg(F.sum("mass").alias("rho"))
-    return cut(p.where("n > 1").drop("mass", "n").join(rho, "class_id"), "blocks")
+    pair = meet(recs, *NEAR, carry=("w",))
+    each = F.explode(F.array(F.struct(F.col("class_id_a").alias("class_id"), F.col("w_b").alias("m")), F.struct(F.col("class_id_b").alias("class_id"), F.col("w_a").alias("m"))))
+    mass = pair.select(each.alias("e")).groupBy("e.class_id").agg(F.sum("e.m").alias("m"))
+    return cut(recs.join(mass, "class_id", "left").withColumn("rho", F.col("w") + F.coalesce("m", F.lit(0))).drop("m"), "densities")
 
 
 def pointers(recs: DataFrame) -> DataFrame:
-    """(class_id, p): the nearest denser record of similarity >= NEAR, for every record that has one.
+    """(class_id, p): the nearest denser neighbour of every record that has one; recs with rho.
 
-    Density order is (rho, smaller class_id), so pointers never form a cycle. First each record meets the
-    densest record of each of its blocks, found by a partial aggregate: a block of any size costs its rows, not
-    its pairs, and large families fold onto their peak here. What found no denser neighbour that way meets all
-    others like it in the exact prefix-filtered join.
+    Density order is (rho, smaller class_id), so pointers never form a cycle. All records are targets for all others;
+    of equally near ones the densest counts, then the smallest class_id. Each pair offers its denser record to the
+    other where it is met, and only the best offer is shuffled.
     """
-    p = densities(recs)
-    order = F.struct("rho", (-F.col("class_id")).alias("minus"))
-    key = recs.select("class_id", "toks", "k")
-    rho = cut(p.groupBy("class_id").agg(F.max("rho").alias("rho")), "rho")
-    done = None
-    active = p
-    for _ in range(LEADER_ROUNDS):
-        lead = active.groupBy("tok").agg(
-            F.max_by(F.struct("class_id", "k", "toks", "rho"), order).alias("l"), F.count("*").alias("n")
-        )
-        lead = cut(lead.where("n > 1"), "leaders")
-        met = hot_join(active, lead.select("tok", "l"), "tok", counts=lead.select("tok", "n"))
-        shared = F.size(F.array_intersect("toks", "l.toks"))
-        total = F.col("k") + F.col("l.k") - shared
-        met = cut(met.select("tok", "class_id", F.col("l.class_id").alias("lead"), F.col("l.rho").alias("lead_rho"), (shared / total).alias("sim")), "met")
-        hit = met.where((F.col("class_id") != F.col("lead")) & (F.col("sim") >= NEAR[0] / NEAR[1]))
-        best = hit.groupBy("class_id").agg(F.max(F.struct("sim", "lead_rho", (-F.col("lead")).alias("minus"))).alias("b"))
-        best = cut(best.select("class_id", (-F.col("b.minus")).alias("p")), "attached")
-        done = best if done is None else done.unionByName(best)
-        leads = met.where("class_id = lead").select("tok", "class_id")
-        active = cut(active.join(best, "class_id", "left_anti").join(leads, ["tok", "class_id"], "left_anti"), "active")
-    rest = cut(key.join(done, "class_id", "left_anti"), "rest")
-    pairs = similar_classes(rest, *NEAR)
-    side = lambda x, y: pairs.select(F.col(x).alias("class_id"), F.col(y).alias("other"), (F.col("shared") / (F.col("ka") + F.col("kb") - F.col("shared"))).alias("sim"))
-    both = side("a", "b").unionByName(side("b", "a"))
-    both = both.join(rho, "class_id").join(rho.select(F.col("class_id").alias("other"), F.col("rho").alias("rho_o")), "other")
-    denser = (F.col("rho_o") > F.col("rho")) | ((F.col("rho_o") == F.col("rho")) & (F.col("other") < F.col("class_id")))
-    near = both.where(denser).groupBy("class_id").agg(F.max(F.struct("sim", "rho_o", (-F.col("other")).alias("minus"))).alias("b"))
-    return done.unionByName(near.select("class_id", (-F.col("b.minus")).alias("p")))
+    pair = meet(recs, *NEAR, carry=("rho",))
+    a_denser = (F.col("rho_a") > F.col("rho_b")) | ((F.col("rho_a") == F.col("rho_b")) & (F.col("class_id_a") < F.col("class_id_b")))
+    pick = lambda c, yes, no: F.when(a_denser, F.col(f"{c}_{yes}")).otherwise(F.col(f"{c}_{no}"))
+    sim = F.col("shared") / (F.col("k_a") + F.col("k_b") - F.col("shared"))
+    offer = F.struct(sim.alias("sim"), pick("rho", "a", "b").alias("rho"), (-pick("class_id", "a", "b")).alias("minus"))
+    best = pair.select(pick("class_id", "b", "a").alias("class_id"), offer.alias("o")).groupBy("class_id").agg(F.max("o").alias("o"))
+    return best.select("class_id", (-F.col("o.minus")).alias("p"))
 
 
 def cluster(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, group_id, rho) of every document with more than 5 features, and (group_id, size, typical).
 
     A record without a denser neighbour is a peak and starts a cluster; all others follow their pointers. group_id
-    is the smallest doc_id of the cluster; typical are its densest documents, the peak first, ties by doc_id.
+    is the smallest doc_id of the cluster; typical are its densest documents, ties by doc_id; of a set of exact copies
+    one speaks for all.
     Null features, ids and repeats don't count; an empty table gives no rows.
     """
     recs, members = classes(feature_sets(features))
+    recs = densities(recs)
     ptr = roots(pointers(recs).select(F.col("class_id").alias("v"), "p"))
-    rho = densities(recs).groupBy("class_id").agg(F.max("rho").alias("rho"))
-    label = recs.select("class_id", "w").join(ptr.select(F.col("v").alias("class_id"), F.col("p").alias("peak")), "class_id", "left")
-    label = label.withColumn("peak", F.coalesce("peak", "class_id")).join(rho, "class_id", "left").withColumn("rho", F.coalesce("rho", F.lit(0)))
-    label = cut(label, "label")
+    label = recs.select("class_id", "w", "rho").join(ptr.select(F.col("v").alias("class_id"), F.col("p").alias("peak")), "class_id", "left")
+    label = cut(label.withColumn("peak", F.coalesce("peak", "class_id")), "label")
     size = cut(label.groupBy("peak").agg(F.min("class_id").alias("group_id"), F.sum("w").alias("size"), F.count("*").alias("n")), "groups")
     label = cut(hot_join(label, size, "peak", counts=size.select("peak", "n")).select("class_id", "group_id", "size", "rho"), "label")
     # typical members: best of each salted part, then best of those

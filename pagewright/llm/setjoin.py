@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.norm import feature_key
-from ..operators.skew import hot_join, hot_keys
+from ..operators.skew import hot_join
 from ..session import cut
 
 #: Rows of one token that one task compares with each other; longer lists are cut into blocks.
 BLOCK = 4_000
+#: Members of a class that one key expands; larger classes are divided.
+EXPAND = 1_000
 #: Similarity (shared / different features) of a pair, and the features a record must exceed.
 SIMILAR, MORE_THAN = (3, 4), 5
 
@@ -35,65 +35,77 @@ def feature_sets(features: DataFrame, clusters: DataFrame | None = None, more_th
 
 
 def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records with the same set form a class. Returns (class_id, toks, k, w) and (id, is_cluster, class_id).
+    """Records with the same set form a class. Returns (class_id, toks, k, lead, w) and (id, is_cluster, class_id).
 
-    class_id is the smallest id of the class, w its number of members; toks are the ranks of its features by
-    rarity over all classes, ascending, so a prefix of toks is the rarest part of the set. Copies are folded
-    before anything is compared: a group of copies costs one record however large it is.
+    class_id is the smallest id of the class, w its number of members, k the size of its set. toks are the ranks of its
+    features by rarity over all classes, ascending, so a prefix of toks is the rarest part of the set; the lead features
+    that no other class has come first of all, can never be shared and are only counted. Copies are folded before
+    anything is compared: a group of copies costs one record however large it is.
     """
     sets = cut(sets.withColumn("h", F.sha2(F.concat_ws("\x1f", "feats"), 256)), "sets")
     by = sets.groupBy("h").agg(F.min("id").alias("class_id"), F.count("*").alias("w"), F.first("feats").alias("feats"))
     by = cut(by, "classes")
     long = by.select("class_id", F.explode("feats").alias("f"))
-    counts = cut(long.groupBy("f").agg(F.count("*").alias("n")), "counts")
+    counts = cut(long.groupBy("f").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     # a global sort numbers the features by rarity; the written table keeps the numbers if a task is lost
     ranks = cut(counts.orderBy("n", "f").withColumn("tok", F.monotonically_increasing_id()).select("f", "tok"), "ranks")
     toks = hot_join(long, ranks, "f", counts=counts).groupBy("class_id").agg(F.array_sort(F.collect_list("tok")).alias("toks"))
-    recs = cut(by.select("class_id", "w").join(toks, "class_id").withColumn("k", F.size("toks")), "records")
+    recs = by.select("class_id", "w", F.size("feats").alias("k")).join(toks, "class_id", "left")
+    recs = recs.withColumn("toks", F.coalesce("toks", F.array().cast("array<bigint>"))).withColumn("lead", F.col("k") - F.size("toks"))
     members = hot_join(sets.select("id", "is_cluster", "h"), by.select("h", "class_id"), "h").select("id", "is_cluster", "class_id")
-    return recs, cut(members, "members")
+    return cut(recs, "records"), cut(members, "members")
 
 
-def prefixes(recs: DataFrame, num: int, den: int) -> DataFrame:
-    """(tok, pos, class_id, k, toks): the tokens under which a record can first meet a partner of similarity num/den."""
-    keep = F.col("k") - F.ceil(F.col("k") * F.lit(num) / F.lit(den)).cast("int") + 1
-    return recs.select("class_id", "k", "toks", F.posexplode(F.slice("toks", F.lit(1), keep)).alias("pos", "tok"))
+def prefixes(recs: DataFrame, num: int, den: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(tok, at, class_id, k, lead, toks, carried columns): the tokens, at place `at` of toks, under which a record can first meet a partner of similarity num/den."""
+    keep = F.col("k") - F.ceil(F.col("k") * F.lit(num) / F.lit(den)).cast("int") + 1 - F.col("lead")
+    rows = recs.where(F.size("toks") > 0)
+    return rows.select("class_id", "k", "lead", "toks", *carry, F.posexplode(F.slice("toks", F.lit(1), F.greatest(keep, F.lit(0)))).alias("at", "tok"))
 
 
-def similar_classes(recs: DataFrame, num: int = SIMILAR[0], den: int = SIMILAR[1], block: int = BLOCK) -> DataFrame:
-    """(a, b, shared, ka, kb), a < b: all pairs of classes with shared/(ka+kb-shared) >= num/den.
+def meet(recs: DataFrame, num: int = SIMILAR[0], den: int = SIMILAR[1], block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every pair of classes with shared/(ka+kb-shared) >= num/den, once: class_id_a, class_id_b, k_a, k_b, shared, carried columns.
 
     Prefix filter: only the rarest tokens, as many as the threshold asks for, are join keys. Length filter: no
     partner shorter than num/den. Positional filter: the tokens still to come must suffice. A pair is verified
-    once, at its first common token, by exact overlap. Token lists beyond `block` rows are cut into blocks that
-    meet pairwise in tasks of their own, so no token gathers in one task; no list is capped.
+    once, at its first common token, by exact overlap. Every token list of more than `block` rows, whatever its share
+    of all rows, is cut into blocks that meet pairwise in tasks of their own, so no token gathers in one task; no
+    list is capped. The sets travel with their prefix rows: a pair is verified where it is met and never leaves its
+    task unless the caller writes it, so aggregates over pairs combine before any shuffle.
     """
-    p = cut(prefixes(recs, num, den), "prefix")
-    counts = p.groupBy("tok").agg(F.count("*").alias("n"))
-    hot = hot_keys(counts, least=block).select("tok", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("nb"))
-    p = p.join(counts.where("n > 1").select("tok"), "tok", "left_semi").join(F.broadcast(hot), "tok", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    p = prefixes(recs, num, den, carry)
+    long = cut(p.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > block), "lists")
+    parts = long.select("tok", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("nb"))
+    p = cut(hot_join(p, parts, "tok", "left", counts=long).withColumn("nb", F.coalesce("nb", F.lit(1))), "prefix")
+    cols = ["class_id", "k", "lead", "at", "toks", *carry]
     mine = F.pmod(F.xxhash64("class_id"), F.col("nb")).cast("int")
-    a = p.select("tok", mine.alias("blk"), *[F.col(c).alias(f"{c}_a") for c in ("class_id", "k", "pos", "toks")])
+    a = p.select("tok", mine.alias("blk"), *[F.col(c).alias(f"{c}_a") for c in cols])
     b = p.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    b = b.select("tok", "blk", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "k", "pos", "toks")])
+    b = b.select("tok", "blk", *[F.col(c).alias(f"{c}_b") for c in cols])
     need = F.ceil((F.col("k_a") + F.col("k_b")) * F.lit(num) / F.lit(num + den)).cast("int")
-    before = lambda s: F.slice(f"toks_{s}", F.lit(1), F.col(f"pos_{s}"))
+    before = lambda s: F.slice(f"toks_{s}", F.lit(1), F.col(f"at_{s}"))
+    left = lambda s: F.col(f"k_{s}") - F.col(f"lead_{s}") - F.col(f"at_{s}")
     # each unordered pair once: the shorter record (smaller id of ties) is a
     near = (
         ((F.col("k_a") < F.col("k_b")) | ((F.col("k_a") == F.col("k_b")) & (F.col("class_id_a") < F.col("class_id_b"))))
         & (F.col("k_a") * den >= F.col("k_b") * num)
-        & (1 + F.least(F.col("k_a") - F.col("pos_a"), F.col("k_b") - F.col("pos_b")) - 1 >= need)
+        & (F.least(left("a"), left("b")) >= need)
     )
     return (
         a.join(b, (a["tok"] == b["tok"]) & (a["blk"] == b["blk"]) & near)
-        .where(~F.arrays_overlap(before("a"), before("b")))
+        .where((F.col("at_a") == 0) | (F.col("at_b") == 0) | ~F.arrays_overlap(before("a"), before("b")))
         .withColumn("shared", F.size(F.array_intersect("toks_a", "toks_b")))
         .where(F.col("shared") >= need)
-        .select(
-            F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b"), "shared",
-            F.when(F.col("class_id_a") < F.col("class_id_b"), F.col("k_a")).otherwise(F.col("k_b")).alias("ka"),
-            F.when(F.col("class_id_a") < F.col("class_id_b"), F.col("k_b")).otherwise(F.col("k_a")).alias("kb"),
-        )
+        .select("class_id_a", "class_id_b", "k_a", "k_b", "shared", *[f"{c}_{s}" for c in carry for s in "ab"])
+    )
+
+
+def similar_classes(recs: DataFrame, num: int = SIMILAR[0], den: int = SIMILAR[1], block: int = BLOCK) -> DataFrame:
+    """(a, b, shared, ka, kb), a < b: all pairs of classes of similarity num/den."""
+    first = F.col("class_id_a") < F.col("class_id_b")
+    return meet(recs, num, den, block).select(
+        F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b"), "shared",
+        F.when(first, F.col("k_a")).otherwise(F.col("k_b")).alias("ka"), F.when(first, F.col("k_b")).otherwise(F.col("k_a")).alias("kb"),
     )
 
 
@@ -114,20 +126,30 @@ def summary(features: DataFrame, clusters: DataFrame | None = None) -> DataFrame
     return hot_join(members, per, "class_id").select("id", "class_id", "copies", "similar")
 
 
+def parted(members: DataFrame, block: int = EXPAND) -> DataFrame:
+    """members with nb, into how many parts of about `block` members its class is divided, and part."""
+    size = cut(members.groupBy("class_id").agg(F.count("*").alias("n"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("nb")), "sizes")
+    got = hot_join(members, size.select("class_id", "nb"), "class_id", counts=size)
+    return cut(got.withColumn("part", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")), "parted")
+
+
+def expand(pairs: DataFrame, members: DataFrame, block: int = EXPAND) -> DataFrame:
+    """(x, xc, y, yc): members of the two classes of each pair (a, b); a = b asks for the pairs within a class, x < y.
+
+    The parts of the two sides meet pairwise under keys of their own, so no key gives more than about block ** 2 rows.
+    """
+    m = parted(members, block)
+    nb = m.groupBy("class_id").agg(F.first("nb").alias("nb"))
+    parts = lambda c, to: nb.select(F.col("class_id").alias(c), F.sequence(F.lit(0), F.col("nb") - 1).alias(to))
+    p = pairs.join(parts("a", "pa"), "a").join(parts("b", "pb"), "b").withColumn("part_a", F.explode("pa")).withColumn("part_b", F.explode("pb")).drop("pa", "pb")
+    x = m.select(F.col("class_id").alias("a"), F.col("part").alias("part_a"), F.col("id").alias("x"), F.col("is_cluster").alias("xc"))
+    y = m.select(F.col("class_id").alias("b"), F.col("part").alias("part_b"), F.col("id").alias("y"), F.col("is_cluster").alias("yc"))
+    got = p.join(x, ["a", "part_a"]).join(y, ["b", "part_b"])
+    return got.where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select("x", "xc", "y", "yc")
+
+
 def found(features: DataFrame, clusters: DataFrame) -> DataFrame:
     """All pairs (id_a < id_b) of similarity >= 3/4, two documents or a cluster and a document; copies expanded."""
     s, members = links(features, clusters)
-    pairs = s.select("a", "b").unionByName(members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b")))
-    x = members.select(F.col("id").alias("x"), F.col("is_cluster").alias("xc"), F.col("class_id").alias("a"))
-    y = members.select(F.col("id").alias("y"), F.col("is_cluster").alias("yc"), F.col("class_id").alias("b"))
-    same = F.col("a") == F.col("b")
-    return (
-        pairs.join(x, "a").join(y, "b")
-        .where(~(F.col("xc") & F.col("yc")) & (~same | (F.col("x") < F.col("y"))))
-        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    )
-
-
-def prefix_length(k: int, num: int, den: int) -> int:
-    """Tokens of a k-element set under which a partner of similarity num/den must be met (for tests)."""
-    return k - ceil(k * num / den) + 1
+    same = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("class_id").alias("a"), F.col("class_id").alias("b"))
+    return expand(s.select("a", "b").unionByName(same), members).where("not (xc and yc)").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

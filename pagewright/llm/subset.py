@@ -19,22 +19,23 @@ SIZE, PART = 200, 2_000
 RIDGE = 1e-3
 
 
-def greedy_determinant(toks: Sequence[np.ndarray], k: int) -> list[int]:
+def greedy_determinant(toks: Sequence[np.ndarray], k: int, sizes: Sequence[int] | None = None) -> list[int]:
     """Up to k positions that greedily maximise the determinant of the Jaccard kernel of the sets.
 
-    Incremental Cholesky: one kernel row for each pick; the squared residual of an item is the factor by which it
+    sizes: how many elements each set has, if toks holds only those that others may share. Incremental Cholesky: one kernel row for each pick; the squared residual of an item is the factor by which it
     would grow the determinant. Ties go to the smallest position.
     """
     n = len(toks)
     k = min(k, n)
-    size = np.array([len(t) for t in toks], dtype=np.int64)
+    many = np.array([len(t) for t in toks], dtype=np.int64)
+    size = many if sizes is None else np.asarray(sizes, dtype=np.int64)
     flat = np.concatenate(toks) if n else np.empty(0, np.int64)
     _, code = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(n), size)
+    row = np.repeat(np.arange(n), many)
     order = np.argsort(code, kind="stable")
     posting = row[order]
     start = np.searchsorted(code[order], np.arange((code.max() + 1 if len(code) else 0) + 1))
-    first = np.concatenate([[0], np.cumsum(size)])
+    first = np.concatenate([[0], np.cumsum(many)])
     left = np.full(n, 1.0 + RIDGE)
     c = np.zeros((k, n))
     out: list[int] = []
@@ -74,21 +75,21 @@ def varied_subset(sets: DataFrame, size: int = SIZE, part: int = PART) -> DataFr
         raise ValueError("size must be positive")
     part = max(part, 4 * size)
     recs, _ = classes(sets)
-    left = recs.select("class_id", "toks", "w")
+    left = recs.select("class_id", "toks", "k", "w")
     n = left.count()
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("class_id").reset_index(drop=True)
-        at = greedy_determinant([np.asarray(t, dtype=np.int64) for t in pdf["toks"]], size)
-        return pdf.loc[at, ["class_id", "toks", "w"]].assign(rank=range(1, len(at) + 1))
+        at = greedy_determinant([np.asarray(t, dtype=np.int64) for t in pdf["toks"]], size, pdf["k"])
+        return pdf.loc[at, ["class_id", "toks", "k", "w"]].assign(rank=range(1, len(at) + 1))
 
-    schema = "class_id long, toks array<long>, w long, rank int"
+    schema = "class_id long, toks array<long>, k int, w long, rank int"
     level = 0
     while n > part:
         parts = -(-n // part)
         # another hash for each level, so that what met once is mixed anew
         left = left.groupBy(F.pmod(F.xxhash64("class_id", F.lit(level)), F.lit(parts)).alias("p")).applyInPandas(choose, schema)
-        left = cut(left.select("class_id", "toks", "w"), "coreset")
+        left = cut(left.select("class_id", "toks", "k", "w"), "coreset")
         n, level = left.count(), level + 1
     last = left.groupBy(F.lit(0).alias("p")).applyInPandas(choose, schema)
     return last.select(F.col("class_id").alias("doc_id"), "rank", F.col("w").alias("stands_for"))

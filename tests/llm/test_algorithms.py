@@ -168,6 +168,20 @@ def test_pairs_of_documents_and_clusters(spark):
     assert setjoin.found(f.where("false"), c.where("false")).count() == 0
 
 
+def test_large_classes_and_lists_are_divided(spark):
+    sets = {i: {f"x{j}" for j in range(8)} for i in range(900)}  # one class of 900 copies
+    sets |= {1000 + i: {*(f"x{j}" for j in range(8)), f"y{i}"} for i in range(60)}  # 60 classes that share every rare feature
+    recs, members = setjoin.classes(setjoin.feature_sets(doc_features(spark, sets)))
+    assert {r["class_id"]: r["lead"] for r in recs.collect()}[1000] == 1
+    pairs = setjoin.similar_classes(recs, block=7).select("a", "b").collect()
+    assert len(pairs) == len(set(pairs)) == 61 * 60 // 2
+    same = spark.createDataFrame([(0, 0), (0, 1000)], "a long, b long")
+    got = setjoin.expand(same, members, block=50).select("x", "y").collect()
+    assert len(got) == len(set(got)) == 900 * 899 // 2 + 900
+    parts = setjoin.parted(members, 50).groupBy("class_id", "part").count().agg(F.max("count")).first()[0]
+    assert parts < 100
+
+
 # ---- problem 3 -------------------------------------------------------------------------------------------------
 
 
@@ -198,6 +212,43 @@ def test_density_peaks_find_the_families(spark):
     assert density.found(f.where("false")).count() == 0
 
 
+def test_density_pointers_are_exact_on_overlapping_chains(spark):
+    rng = random.Random(12)
+    sets = {}
+    for c in range(6):  # chains in which only near links are alike, with copies and side branches
+        for i in range(50):
+            s = {f"c{c}_{j}" for j in range(i, i + 9)}
+            if rng.random() < 0.4:
+                s.add(f"b{c}_{i}")
+            sets[len(sets)] = s
+            if rng.random() < 0.3:
+                sets[len(sets)] = set(s)
+    recs, _ = setjoin.classes(setjoin.feature_sets(doc_features(spark, sets)))
+    copies = {}
+    for i in sorted(sets):
+        copies.setdefault(frozenset(sets[i]), []).append(i)
+    rep = {v[0]: (set(s), len(v)) for s, v in copies.items()}
+    near = {a: {b: jaccard(rep[a][0], rep[b][0]) for b in rep if b != a and 2 * len(rep[a][0] & rep[b][0]) >= len(rep[a][0] | rep[b][0])} for a in rep}
+    rho = {a: rep[a][1] + sum(rep[b][1] for b in near[a]) for a in rep}
+    got = density.densities(recs)
+    assert {r["class_id"]: r["rho"] for r in got.collect()} == rho
+    want = {}
+    for a in rep:
+        denser = [b for b in near[a] if (rho[b], -b) > (rho[a], -a)]
+        if denser:
+            want[a] = max(denser, key=lambda b: (near[a][b], rho[b], -b))
+    assert {r["class_id"]: r["p"] for r in density.pointers(got).collect()} == want
+
+    def peak(a):
+        return peak(want[a]) if a in want else a
+
+    group = {}
+    for a in rep:
+        group.setdefault(peak(a), []).append(a)
+    label = {i: min(group[peak(v[0])]) for v in copies.values() for i in v}
+    assert {r["doc_id"]: r["group_id"] for r in density.report(doc_features(spark, sets)).collect()} == label
+
+
 def test_density_in_one_huge_family(spark):
     core = [f"c{i}" for i in range(9)]
     sets = {i: {*core, f"o{i % 37}", f"p{i % 11}"} for i in range(400)}
