@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .graph import connected_components
-from .similarity import cluster_scores, contributions, pair_overlaps, soft_matches, totals
+from .similarity import cluster_scores, contributions, pair_overlaps, totals
 from .skew import hot_join
 
 #: Features up to which a document is noise; documents of a block.
 NOISE, BLOCK = 5, 2_000
+#: Positions and sizes of layout features no further apart are the same.
+TOLERANCE = 5
 
 
 # ---- frozen clusters -------------------------------------------------------------------------------------------
@@ -44,9 +46,9 @@ def pruned_affinity(parts: DataFrame, features: DataFrame, assigned: DataFrame)
     Clusters that lose all features have affinity 0.
     """
     before = parts.groupBy("cluster_id").agg(F.count("*").alias("before"))
-    kept = prune(parts)
-    held = hot_join(features.select("id", "feature").join(assigned, "id"), kept.groupBy("feature").agg(F.collect_set("cluster_id").alias("cs")), "feature")
-    covered = held.where(F.array_contains("cs", F.col("cluster_id"))).groupBy("cluster_id").agg(F.count_distinct("id").alias("covered"))
+    kept = cut(prune(parts), "kept")
+    held = features.select("id", "feature").join(assigned.select("id", "cluster_id"), "id").join(kept.select("cluster_id", "feature"), ["cluster_id", "feature"], "left_semi")
+    covered = held.groupBy("cluster_id").agg(F.count_distinct("id").alias("covered"))
     k = kept.groupBy("cluster_id").agg(F.count("*").alias("features"), F.sum("df").alias("s"))
     out = before.join(k, "cluster_id", "left").join(covered, "cluster_id", "left").na.fill(0, ["features", "s", "covered"])
     return out.select("cluster_id", "features", "covered", F.when(F.col("covered") > 0, F.col("s") / (F.col("before") * F.col("covered"))).otherwise(0.0).alias("affinity"))
@@ -201,32 +203,33 @@ def leader_clusters(features: DataFrame, num: int = 83, den: int = 100, best: bo
 # ---- merging ---------------------------------------------------------------------------------------------------
 
 
-def merge_edges(parts: DataFrame, num: int = 80, den: int = 100, soft: bool = False, values: DataFrame | None = None) -> DataFrame:
-    """(a, b, score), a > b: cluster pairs that are alike enough to merge, by the contributions of a.
+def merge_edges(parts: DataFrame, num: int = 80, den: int = 100, short_path: bool = False, changed: DataFrame | None = None) -> DataFrame:
+    """(a, b, score), a > b: cluster pairs that are alike enough to merge, by the contributions of b, the smaller id.
 
-    The threshold is 5 % higher if either has fewer than 10 features. Cluster 0 never merges. soft=True adds
-    position and size features of near value (values: id, feature, value), each side once.
+    Every feature of the table counts, whatever its level; clusters hold cluster-level features, none of which has a
+    value, so no soft terms arise. The threshold is 5 % higher if either has fewer than 10 features. Cluster 0 never
+    merges. short_path leaves out pairs whose feature numbers have a ratio below the threshold. changed: (id) of the
+    clusters that are new since their pairs were last compared; pairs of two others are left out.
     """
-    p = parts.where("cluster_id <> 0")
+    p = cut(parts.where("cluster_id <> 0").select("cluster_id", "feature", "weight", "df", "n"), "clusters")
     as_sets = p.select(F.col("cluster_id").alias("id"), "feature", "weight")
-    near = pair_overlaps(as_sets, num if not soft else max(1, num // 2), den)
+    flag = None
+    if changed is not None:
+        flag = "changed"
+        as_sets = as_sets.join(changed.select("id", F.lit(True).alias(flag)), "id", "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    near = pair_overlaps(as_sets, num, den, either=flag)
     near = near.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("total_b").alias("wa"), F.col("total_a").alias("wb"))
-    x = p.select(F.col("cluster_id").alias("a"), "feature", "weight", "df", "n")
-    y = p.select(F.col("cluster_id").alias("b"), "feature")
-    s = near.join(x, "a").join(y, ["b", "feature"]).groupBy("a", "b", "wa", "wb").agg((F.sum(F.col("weight") * F.col("df")) / F.max("n")).alias("s"))
-    if soft:
-        v = values.join(p.select(F.col("cluster_id").alias("id")).distinct(), "id", "left_semi")
-        m = soft_matches(v, v).where("a > b and feature_a <> feature_b")
-        ca = p.select(F.col("cluster_id").alias("a"), F.col("feature").alias("feature_a"), (F.col("weight") * F.col("df") / F.col("n")).alias("ca"))
-        cb = p.select(F.col("cluster_id").alias("b"), F.col("feature").alias("feature_b"), (F.col("weight") * F.col("df") / F.col("n")).alias("cb"))
-        m = m.join(near.select("a", "b"), ["a", "b"], "left_semi")
-        add = m.select("a", "b", "feature_a").distinct().join(ca, ["a", "feature_a"]).select("a", "b", F.col("ca").alias("c")).unionByName(m.select("a", "b", "feature_b").distinct().join(cb, ["b", "feature_b"]).select("a", "b", F.col("cb").alias("c")))
-        s = s.join(add.groupBy("a", "b").agg(F.sum("c").alias("c")), ["a", "b"], "left").withColumn("s", F.col("s") + F.coalesce("c", F.lit(0.0)))
-    n = totals(as_sets).select("id", "n")
-    s = s.join(n.select(F.col("id").alias("a"), F.col("n").alias("fa")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("fb")), "b")
-    score = 2 * F.col("s") / (F.col("wa") + F.col("wb"))
-    least = F.when(F.least("fa", "fb") < 10, num * 1.05 / den).otherwise(num / den)
-    return s.withColumn("score", score).where(F.col("score") >= least - 1e-12).select("a", "b", "score")
+    n = totals(as_sets)
+    near = near.join(n.select(F.col("id").alias("a"), F.col("n").alias("fa")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("fb")), "b")
+    if short_path:
+        near = near.where(F.least("fa", "fb") * den >= F.greatest("fa", "fb") * num)
+    x = p.select(F.col("cluster_id").alias("b"), "feature", "weight", "df", "n")
+    y = p.select(F.col("cluster_id").alias("a"), "feature")
+    s = near.join(x, "b").join(y, ["a", "feature"]).groupBy("a", "b", "wa", "wb", "fa", "fb").agg(F.sum(F.col("weight") * F.col("df")).alias("s"), F.max("n").alias("n"))
+    # whole numbers on both sides: 2 s / (n (wa + wb)) >= num / den, times 1.05 for small ones
+    least = F.when(F.least("fa", "fb") < 10, 105).otherwise(100)
+    hit = s.where(200 * den * F.col("s") >= least * num * F.col("n") * (F.col("wa") + F.col("wb")))
+    return hit.select("a", "b", (2 * F.col("s") / (F.col("n") * (F.col("wa") + F.col("wb")))).alias("score"))
 
 
 def survivors(edges: DataFrame) -> DataFrame:
@@ -253,18 +256,23 @@ def merged_average(parts: DataFrame, mapping: DataFrame) -> DataFrame:
     return per.select(F.col("to").alias("cluster_id"), "n", "average_features")
 
 
-def merge_clusters(features: DataFrame, assigned: DataFrame, num: int = 80, den: int = 100, rounds: int = 10) -> DataFrame:
-    """(id, cluster_id) after merging alike clusters until none is left or the rounds are used up."""
+def merge_clusters(features: DataFrame, assigned: DataFrame, num: int = 80, den: int = 100, rounds: int = 10, short_path: bool = False) -> DataFrame:
+    """(id, cluster_id) after merging alike clusters until none is left or the rounds are used up.
+
+    Clusters are pruned before the first round and not between rounds. All pairs are compared in the first round, later
+    only pairs with a cluster that has taken others in: all other scores are as they were.
+    """
     a = cut(assigned.select("id", "cluster_id"), "assigned")
-    features = cut(features.select("id", "feature", "weight"), "features")
-    parts = cut(prune(contributions(features, a.where("cluster_id <> 0"))), "parts")
+    parts = cut(prune(contributions(features.select("id", "feature", "weight"), a.where("cluster_id <> 0"))), "parts")
+    changed = None
     for _ in range(rounds):
-        edges = cut(merge_edges(parts, num, den), "edges")
+        edges = cut(merge_edges(parts, num, den, short_path, changed), "edges")
         if edges.isEmpty():
             break
         to = cut(survivors(edges), "survivors")
         a = cut(hot_join(a, to.select("cluster_id", "survivor"), "cluster_id", "left").select("id", F.coalesce("survivor", "cluster_id").alias("cluster_id")), "assigned")
-        parts = cut(prune(merged(parts, to)), "parts")
+        parts = cut(merged(parts, to), "parts")
+        changed = cut(to.select(F.col("survivor").alias("id")).distinct(), "changed")
     return a
 
 
@@ -272,43 +280,57 @@ def merge_clusters(features: DataFrame, assigned: DataFrame, num: int = 80, den:
 
 
 class SubLeader:
-    """Leader clustering on layout features: exact matches and values within 5; best match, first of ties."""
+    """Leader clustering on layout features: exact matches and values within TOLERANCE; best match, first of ties.
+
+    A feature of the sub-cluster counts once, with its contribution, if the document has it or a value near its own; each
+    feature of the document that is near and not in the sub-cluster counts once more, with contribution 1. All that
+    counts is shared, so a feature of the sub-cluster that is only near gains a document too. Whole numbers are compared.
+    """
 
     def __init__(self, threshold: float):
-        self.threshold = threshold
+        self.num, self.den = round(threshold * 1000), 1000
         self.clusters: list[dict] = []
 
-    def score(self, c: dict, doc: dict[str, tuple[int, float | None]]) -> tuple[float, set[str]]:
-        mine = c["features"]
-        shared = {f for f in mine if f in doc}
-        s = sum(mine[f][0] / c["n"] * mine[f][1] for f in shared)
-        used: set[str] = set()
+    def score(self, c: dict, doc: dict[str, tuple[int, float | None]]) -> tuple[int, int, set[str]]:
+        """(numerator, denominator, shared features) of the similarity."""
+        mine, n = c["features"], c["n"]
+        shared = mine.keys() & doc.keys()
+        s = sum(mine[f][0] * mine[f][1] for f in shared)
+        valued = [(g, v) for g, (_, v) in doc.items() if v is not None]
+        reached = set(shared)
         for f in sorted(mine):
             df, w, v = mine[f]
-            if v is None or f in shared:
+            if v is None:
                 continue
             kind = f.split("_", 1)[0]
-            near = [g for g in sorted(doc) if g not in shared and kind in g and doc[g][1] is not None and abs(doc[g][1] - v) <= 5]
-            if near:
-                s += df / c["n"] * w + sum(doc[g][0] for g in near if g not in used)
-                used.update(near)
+            near = [g for g, x in valued if kind in g and abs(x - v) <= TOLERANCE]
+            if near and f not in reached:
+                reached.add(f)
+                s += df * w
+            for g in near:
+                if g not in reached:
+                    reached.add(g)
+                    s += n * w
         total = sum(x[1] for x in mine.values()) + sum(x[0] for x in doc.values())
-        return (2 * s / total if total else 0.0), shared | used
+        return 2 * s, n * total, reached
 
     def add(self, doc: dict[str, tuple[int, float | None]]) -> tuple[int, float]:
-        best, at = 0.0, -1
+        best, at, shared = 0.0, -1, set()
         for i, c in enumerate(self.clusters):
-            d, _ = self.score(c, doc)
-            if d >= self.threshold and d > best:
-                best, at = d, i
+            s, total, reached = self.score(c, doc)
+            if total and s * self.den >= self.num * total and s / total > best:
+                best, at, shared = s / total, i, reached
         if at < 0:
             self.clusters.append({"n": 0, "features": {}})
             best, at = 1.0, len(self.clusters) - 1
         c = self.clusters[at]
         c["n"] += 1
+        for f, x in c["features"].items():
+            if f in shared:
+                x[0] += 1
         for f, (w, v) in doc.items():
-            df = c["features"].get(f, (0, w, v))[0]
-            c["features"][f] = (df + 1, w, v)
+            if f not in c["features"]:
+                c["features"][f] = [1, w, v]
         return at, best
 
 

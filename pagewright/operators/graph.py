@@ -6,17 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .skew import hot_join
 
 #: A pointer table of at most so many rows (two longs each) is broadcast, a larger one shuffled.
 BROADCAST_ROWS = 200_000
 
 
 def _lookup(df: DataFrame, key: str, ptr: DataFrame, rows: int, out: str) -> DataFrame:
-    """df[key] -> ptr.p as column out; key itself where ptr has no row."""
+    """df[key] -> ptr.p as column out; key itself where ptr has no row.
+
+    A large pointer table meets df by a join that takes hot keys apart: a giant component's root is pointed at by most rows.
+    """
     right = ptr.select(F.col("v").alias("_v"), F.col("p").alias("_p"))
     if rows <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    return df.join(right, df[key] == right["_v"], "left").withColumn(out, F.coalesce("_p", key)).drop("_v", "_p")
+        got = df.join(F.broadcast(right), df[key] == right["_v"], "left")
+    else:
+        got = hot_join(df.withColumn("_v", F.col(key)), right, "_v", "left")
+    return got.withColumn(out, F.coalesce("_p", key)).drop("_v", "_p")
 
 
 def tidy_edges(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

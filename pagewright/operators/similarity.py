@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import cut
-from .skew import hot_join, hot_keys
+from .skew import hot_join
 
 BLOCK = 4_000
 
@@ -17,31 +17,33 @@ def totals(features: DataFrame) -> DataFrame:
     return features.groupBy("id").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
 
 
-def pair_overlaps(features: DataFrame, num: int, den: int, block: int = BLOCK, across: str | None = None) -> DataFrame:
+def pair_overlaps(features: DataFrame, num: int, den: int, block: int = BLOCK, across: str | None = None, either: str | None = None) -> DataFrame:
     """(a, b, shared, total_a, total_b), a < b: pairs whose shared weight reaches num/den of their mean weight.
 
     across: a boolean column that divides the records; only pairs of a false one (a) and a true one (b) are formed.
+    either: a boolean column that is true for at least one record of each pair formed.
 
     features: (id, feature, weight), one row for each feature of a record. Score 2 * shared / (total_a + total_b).
     A pair that reaches num/den shares at least num/(2 den - num) of either side's weight, so only the rarest features
     that leave less than this behind are join keys (weighted prefix filter); long lists of one feature are cut into
     blocks. All weights then count in the exact sum.
     """
-    f = cut(features.select("id", "feature", "weight", (F.lit(False) if across is None else F.col(across)).alias("side")), "weighted")
+    f = cut(features.select("id", "feature", "weight", (F.lit(False) if across is None else F.col(across)).alias("side"), (F.lit(True) if either is None else F.col(either)).alias("asks")), "weighted")
     counts = cut(f.groupBy("feature").agg(F.count("*").alias("n")), "counts")
     f = hot_join(f, counts.select("feature", F.col("n").alias("df")), "feature", counts=counts)
     w = W.partitionBy("id").orderBy(F.desc("df"), F.desc("feature"))
     f = f.withColumn("behind", F.sum("weight").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(W.partitionBy("id")))
     f = cut(f, "ranked")
-    p = f.where((F.col("df") > 1) & (F.col("behind") * (2 * den - num) >= F.col("total") * num)).select("id", "feature", "total", "side")
-    pc = p.groupBy("feature").agg(F.count("*").alias("n"))
-    hot = hot_keys(pc, least=block).select("feature", F.ceil(F.col("n") / block).cast("int").alias("nb"))
-    p = p.join(F.broadcast(hot), "feature", "left").withColumn("nb", F.coalesce("nb", F.lit(1)))
+    p = f.where((F.col("df") > 1) & (F.col("behind") * (2 * den - num) >= F.col("total") * num)).select("id", "feature", "total", "side", "asks")
+    # every list longer than a block is divided, whatever its share of all rows
+    long = cut(p.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > block), "lists")
+    parts = long.select("feature", F.ceil(F.col("n") / block).cast("int").alias("nb"))
+    p = cut(hot_join(p, parts, "feature", "left", counts=long).withColumn("nb", F.coalesce("nb", F.lit(1))), "prefix")
     left, right = (p, p) if across is None else (p.where("not side"), p.where("side"))
-    a = left.select("feature", F.pmod(F.xxhash64("id"), "nb").cast("int").alias("blk"), F.col("id").alias("a"), F.col("total").alias("ta"))
-    b = right.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("feature", "blk", F.col("id").alias("b"), F.col("total").alias("tb"))
+    a = left.select("feature", F.pmod(F.xxhash64("id"), "nb").cast("int").alias("blk"), F.col("id").alias("a"), F.col("total").alias("ta"), F.col("asks").alias("asks_a"))
+    b = right.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("feature", "blk", F.col("id").alias("b"), F.col("total").alias("tb"), F.col("asks").alias("asks_b"))
     # the heavier side can hold no more than the lighter in common
-    fits = (2 * den * F.least("ta", "tb") >= num * (F.col("ta") + F.col("tb"))) & (F.lit(True) if across else F.col("a") < F.col("b"))
+    fits = (2 * den * F.least("ta", "tb") >= num * (F.col("ta") + F.col("tb"))) & (F.lit(True) if across else F.col("a") < F.col("b")) & (F.col("asks_a") | F.col("asks_b"))
     pairs = cut(a.join(b, ["feature", "blk"]).where(fits).select("a", "b").distinct(), "candidates")
     sets = f.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("m"), F.first("total").alias("total"))
     sets = cut(sets, "sets")
@@ -94,7 +96,11 @@ def soft_matches(a: DataFrame, b: DataFrame, tolerance: float = 5.0) -> DataFram
     x = a.where("value is not null").select(F.col("id").alias("a"), F.col("feature").alias("feature_a"), F.col("value").alias("va"), kind("feature").alias("kind"))
     x = x.withColumn("bucket", F.explode(F.array(*[F.floor(F.col("va") / tolerance) + i for i in (-1, 0, 1)])))
     y = b.where("value is not null").select(F.col("id").alias("b"), F.col("feature").alias("feature_b"), F.col("value").alias("vb"), F.floor(F.col("value") / tolerance).alias("bucket"))
-    return x.join(y, "bucket").where((F.abs(F.col("va") - F.col("vb")) <= tolerance) & F.col("feature_b").contains(F.col("kind"))).select("a", "feature_a", "b", "feature_b")
+    # the kinds of a are few; each name of b is told once which of them it holds, and the kind joins the key
+    kinds = x.select("kind").distinct()
+    names = y.select("feature_b").distinct().join(kinds, F.col("feature_b").contains(F.col("kind")))
+    y = y.join(names, "feature_b")
+    return x.join(y, ["kind", "bucket"]).where(F.abs(F.col("va") - F.col("vb")) <= tolerance).select("a", "feature_a", "b", "feature_b")
 
 
 def size_ratio_filter(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:

@@ -215,7 +215,7 @@ select distinct {out(chr(39) + 'title_' + chr(39) + " || split_part(t, ':', 1)")
     o["prune_features"] = f"with {BASE} select cluster_id, feature, df, n from parts where n <= 4 or df > 2"
     o["pruned_affinity"] = f"""with {BASE}, k as (select * from parts where n <= 4 or df > 2), cv as (select cluster_id, count(distinct id) covered from top join asg using (id) join k using (cluster_id, feature) group by 1), s as (select cluster_id, count(*) f, sum(df) s from k group by 1)
 select cluster_id, coalesce(f, 0) features, coalesce(covered, 0) covered, round(case when covered > 0 then s / (b * covered) else 0.0 end, 6) affinity from (select cluster_id, count(*) b from parts group by 1) left join s using (cluster_id) left join cv using (cluster_id)"""
-    o["merge_edges"] = f"""with {BASE}, t as (select cluster_id c, sum(weight) w, count(*) k from parts group by 1), sh as (select x.cluster_id a, y.cluster_id b, sum(x.weight * x.df) / any_value(x.n) s from parts x join parts y on x.feature = y.feature and x.cluster_id > y.cluster_id group by 1, 2)
+    o["merge_edges"] = f"""with {BASE}, t as (select cluster_id c, sum(weight) w, count(*) k from parts group by 1), sh as (select x.cluster_id a, y.cluster_id b, sum(y.weight * y.df) / any_value(y.n) s from parts x join parts y on x.feature = y.feature and x.cluster_id > y.cluster_id group by 1, 2)
 select a, b, round(score, 6) score from (select a, b, 2 * s / (p.w + q.w) score, least(p.k, q.k) k from sh join t p on p.c = a join t q on q.c = b) where score >= (case when k < 10 then 0.84 else 0.8 end) - 1e-12"""
     o["components"] = f"with recursive {COMP} select v cluster_id, label from comp"
     o["merge_survivor"] = f"with recursive {SURVIVE} select cluster_id, survivor from survive"

@@ -1,6 +1,7 @@
 """Micro-fixtures and properties of the core operators."""
 
 import random
+from fractions import Fraction
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -229,6 +230,102 @@ def test_subclusters_soft_values(spark):
     assert {(r["a"], r["b"]) for r in m.collect()} == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1)}
 
 
+def test_soft_score_counts_near_features_beside_exact_ones():
+    lead = cluster.SubLeader(0.7)
+    assert lead.add({"xPos_100": (1, 100.0)}) == (0, 1.0)
+    assert lead.add({"xPos_100": (1, 100.0), "xPos_103": (1, 103.0)}) == (0, 4 / 3)
+    assert {f: x[0] for f, x in lead.clusters[0]["features"].items()} == {"xPos_100": 2, "xPos_103": 1}
+    assert lead.add({"xPos_98": (1, 98.0)})[0] == 0  # both features of the sub-cluster are near and gain a document
+    assert {f: x[0] for f, x in lead.clusters[0]["features"].items()} == {"xPos_100": 3, "xPos_103": 2, "xPos_98": 1}
+    assert lead.add({}) == (1, 1.0) and lead.add({}) == (2, 1.0)
+
+
+def test_subclusters_against_a_plain_loop(spark):
+    rng = random.Random(31)
+    docs = {}
+    for i in range(120):
+        base = rng.choice([100, 180, 260])
+        xs = {base + 4 * rng.randrange(6) for _ in range(rng.randrange(1, 5))}
+        docs[i] = {**{f"xPos_{x}": float(x) for x in xs}, **{f"wSize_{w}": float(w) for w in {rng.choice([50, 53, 60, 90]) for _ in range(2)}}, **({"text_a": None} if rng.random() < 0.5 else {})}
+    member = {i: 1 + i % 2 for i in docs}
+    want, subs = {}, {1: [], 2: []}
+    for i in sorted(docs):
+        best, at, hit = 0, None, None
+        for k, (n, df) in enumerate(subs[member[i]]):
+            near = {(f, g) for f in df for g in docs[i] if df[f][1] is not None and docs[i][g] is not None and f.split("_")[0] == g.split("_")[0] and abs(df[f][1] - docs[i][g]) <= 5}
+            mine = {f for f in df if f in docs[i]} | {f for f, _ in near}
+            theirs = {g for _, g in near} - set(df)
+            score = Fraction(2, len(df) + len(docs[i])) * (sum(Fraction(df[f][0], n) for f in mine) + len(theirs))
+            if score >= Fraction(7, 10) and score > best:
+                best, at, hit = score, k, mine
+        if at is None:
+            subs[member[i]].append([1, {f: [1, v] for f, v in docs[i].items()}])
+            best, at = 1, len(subs[member[i]]) - 1
+        else:
+            entry = subs[member[i]][at]
+            entry[0] += 1
+            for f in hit:
+                entry[1][f][0] += 1
+            for f, v in docs[i].items():
+                entry[1].setdefault(f, [1, v])
+        want[i] = (member[i], at, float(best))
+    f = spark.createDataFrame([(i, x, "subcluster", v, 1) for i, d in docs.items() for x, v in d.items()], "id long, feature string, level string, value double, weight int")
+    a = spark.createDataFrame(list(member.items()), "id long, cluster_id long")
+    got = {r["id"]: (r["cluster_id"], r["subcluster"], r["distance"]) for r in cluster.subclusters(f, a).collect()}
+    assert got == want and max(x[1] for x in want.values()) > 3
+
+
+def test_merging_against_a_plain_loop(spark):
+    rng = random.Random(17)
+    sets, assigned = {}, {}
+    for c in range(1, 25):
+        core = [f"k{c // 5}_{j}" for j in range(14)]
+        for _ in range(rng.randrange(1, 8)):
+            i = len(sets)
+            sets[i] = {f: 1 for f in rng.sample(core, 11)} | {f"o{rng.randrange(40)}": 1}
+            assigned[i] = c
+    def table(docs):
+        out = {}
+        for i, c in assigned.items():
+            out.setdefault(c, [0, {}])
+            out[c][0] += 1
+            for f in sets[i]:
+                out[c][1][f] = out[c][1].get(f, 0) + 1
+        return {c: [n, {f: d for f, d in df.items() if n <= 4 or d > 2}] for c, (n, df) in out.items()}
+
+    parts, to = table(sets), {c: c for c in assigned.values()}
+    for _ in range(10):
+        edges = []
+        for b in sorted(parts):
+            for a in sorted(parts):
+                (nb, fb), (_, fa) = parts[b], parts[a]
+                if a > b and fa and fb:
+                    score = Fraction(2 * sum(d for f, d in fb.items() if f in fa), nb * (len(fa) + len(fb)))
+                    if score >= Fraction(8, 10) * (Fraction(105, 100) if min(len(fa), len(fb)) < 10 else 1):
+                        edges.append((a, b))
+        if not edges:
+            break
+        group = {c: c for c in parts}
+        for _ in parts:
+            for a, b in edges:
+                group[a] = group[b] = min(group[a], group[b])
+        for g in set(group.values()):
+            inside = [c for c in parts if group[c] == g]
+            if len(inside) > 1:
+                head = min(c for c in inside if any(a == c for a, _ in edges))
+                n, df = sum(parts[c][0] for c in inside), {}
+                for c in inside:
+                    for f, d in parts[c][1].items():
+                        df[f] = df.get(f, 0) + d
+                    to = {k: head if v == c else v for k, v in to.items()}
+                for c in inside:
+                    del parts[c]
+                parts[head] = [n, df]
+    got = cluster.merge_clusters(weighted(spark, sets), spark.createDataFrame(list(assigned.items()), "id long, cluster_id long"))
+    assert {r["id"]: r["cluster_id"] for r in got.collect()} == {i: to[c] for i, c in assigned.items()}
+    assert len(set(to.values())) < len(to)
+
+
 def test_subclusters_of_a_cluster_above_a_block(spark):
     ids = spark.range(1, cluster.BLOCK + 2)
     f = ids.select("id", F.explode(F.array(*[F.lit(f"xPos_{v}") for v in (100, 200, 300)])).alias("feature"), F.lit("subcluster").alias("level"))
