@@ -288,10 +288,47 @@ def test_prefixes_over_partition_bounds(spark):
     rng = random.Random(7)
     texts = {"".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))) for _ in range(150)}
     want = {u for u in texts if any(v != u and v.startswith(u) for v in texts)}
-    df = spark.createDataFrame([(u, u) for u in texts], "h string, u string")
+    df = spark.createDataFrame([(u, u) for u in texts], "h string, u string").withColumn("keys", cuts.beginnings("u"))
     assert {r["h"] for r in cuts.prefixes_of_longer(df).collect()} == want
 
 
+def test_long_texts_share_their_beginnings(spark):
+    base = "".join(random.Random(3).choice("abc é") for _ in range(700))
+    texts = {base[:n] for n in (1, 3, 4, 5, 15, 16, 17, 63, 64, 255, 256, 257, 600, 700)} | {"x" + base, "y" * 300, "z" * 299, "z" * 300}
+    df = spark.createDataFrame([(u, u) for u in texts], "h string, u string").withColumn("keys", cuts.beginnings("u"))
+    got = {r["h"]: r["following"] for r in cuts.prefixes_of_longer(df).collect()}
+    assert set(got) == {u for u in texts if any(v != u and v.startswith(u) for v in texts)}
+    assert got["z" * 299] == "z" and got[base[:600]] == base[600:620]
+
+
+def test_counts_between_bounds(spark):
+    rng = random.Random(11)
+    values = {}
+    for _ in range(400):
+        values["".join(rng.choice("ab é") for _ in range(rng.randrange(0, 6)))] = rng.randrange(1, 5)
+    asks = [(i, j, p + a, p + z) for i, p in enumerate(["", "a", "ab", "b é", "zz"]) for j, (a, z) in enumerate([(" ", "!"), ("a", "{"), ("\xaa", "\u2000")])]
+    want = {(i, j): sum(n for g, n in values.items() if lo.encode() <= g.encode() < hi.encode()) for i, j, lo, hi in asks}
+    v = spark.createDataFrame(list(values.items()), "g string, n long").repartition(5)
+    got = {(r["id"], r["slot"]): r["n"] for r in cuts.counted_between(v, spark.createDataFrame(asks, "id long, slot int, lo string, hi string")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("tail", ["   ", "...", " […] ", "… \n", "\ufffd", " ... " * 40, ".. .", "\u2003\xa0\n", "(…)", ""])
+def test_body_is_the_text_without_marks(spark, tail):
+    import regex
+
+    for text in ("The company" + tail, tail, "x" * 100 + tail, "A.\nB" + tail):
+        got = spark.createDataFrame([(text,)], "t string").select(cuts.body("t").alias("b")).first()["b"]
+        assert got == regex.sub(r"(?:\s|\.\.\.|…|\[\.\.\.\]|\[…\]|\(…\)|\ufffd)+$", "", text)
+
+
+def test_near_copies_cut_at_one_place(spark):
+    s = "The company has approved the annual accounts of the year."
+    long = "Zanfel S.A. has granted a subordinated loan to its foreign subsidiary with retroactive eff"
+    cut = {100 + i: f"{s} Number {i}.\n{long}" for i in range(4)}
+    assert {r["doc_id"] for r in cuts.found(docs(spark, [*((i, s) for i in range(5)), *cut.items()])).collect()} == set(cut)
+
+
 # ---- all queries -----------------------------------------------------------------------------------------------
 
 
