@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,21 +12,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.norm import strip
+from ..operators.skew import hot_join
 from ..session import cut
 from .cuts import shape
-from .editor import Editor, Lexicon, train
+from .editor import DIGITS, HYPHENS, Editor, Lexicon, pairs_of, train, train_breaks
 
-#: A word is known if the documents hold it at least so often, and once in so many words.
-KNOWN, ONE_IN = 3, 2_000_000
+#: A word is known if the documents hold it at least so often.
+KNOWN = 3
+#: Known words that every worker holds, the most frequent; others go to the lines that ask for them.
+LEXICON = 1_000_000
 #: Lines counted from the top and from the bottom of a page among which furniture stands.
 EDGE = 2
-#: Shapes of running lines that hold for all files: at most so many, each a share of the edge lines.
-RUNNING = 300
+#: One in so many corpora may hold a shape that is taken for a running line by chance; a shape of so large a share of the
+#: edge lines (one in SHARE) is one whatever the chance.
+CHANCE, SHARE = 1_000, 300
+#: Distance within which a line is a misread form of a running line of other files.
+OFF = 2
 
-HYPHENS = "-¬‐‑­–"
-# Words that stand with page numbers, and characters read for digits.
+# Words that stand with page numbers.
 PAGE_WORDS = r"(?:page|seite|p[aá]gina|pagina|blz|blatt|bladzijde|pag|p|s)"
-DIGITS = {"l": "1", "I": "1", "i": "1", "|": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "g": "9", "q": "9"}
+#: Characters that may stand for a digit.
+FOR_DIGITS = {c for cs in DIGITS.values() for c in cs}
 
 WORD = re.compile(r"[^\W\d_]+")
 EDGES = ".,;:!?()[]{}\"'«»„“”‚‘’"
@@ -48,6 +53,25 @@ def tidy_lines(lines: DataFrame) -> DataFrame:
     return t.where("_before is null or _before <> line_number").drop("_before")
 
 
+def near_texts(texts: DataFrame, models: DataFrame, off: int = OFF) -> DataFrame:
+    """(g): the distinct texts (g) within edit distance `off` of a model (g).
+
+    A model is cut into off + 1 parts; `off` edits leave one of them whole, moved by at most `off` places. So a text that
+    is near has a part of the model at such a place: parts are join keys together with the model's length, and only
+    pairs that share one are measured.
+    """
+    part = lambda n, i: f"floor({n} * {i} / {off + 1})"
+    of = lambda i: F.struct(F.lit(i).alias("i"), F.expr(f"substr(g, cast({part('length(g)', i)} as int) + 1, cast({part('length(g)', i + 1)} - {part('length(g)', i)} as int))").alias("part"))
+    m = models.select(F.col("g").alias("m"), F.length("g").alias("len"), F.explode(F.array(*[of(i) for i in range(off + 1)])).alias("p")).select("m", "len", "p.i", "p.part")
+    at = F.expr(
+        f"flatten(transform(sequence(greatest(length(g) - {off}, 1), length(g) + {off}), len -> flatten(transform(sequence(0, {off}), i -> transform(filter(sequence(-{off}, {off}), d -> "
+        f"cast({part('len', 'i')} as int) + d >= 0), d -> struct(len, i, substr(g, cast({part('len', 'i')} as int) + 1 + d, cast({part('len', '(i + 1)')} - {part('len', 'i')} as int)) as part))))))"
+    )
+    lengths = models.select(F.length("g").alias("n")).distinct().select(F.explode(F.sequence(F.col("n") - off, F.col("n") + off)).alias("n")).distinct()
+    t = texts.join(lengths, F.length("g") == F.col("n"), "left_semi").select("g", F.explode(F.array_distinct(at)).alias("p")).select("g", "p.len", "p.i", "p.part")
+    return t.join(m, ["len", "i", "part"]).select("g", "m").distinct().where(F.levenshtein("g", "m") <= off).select("g").distinct()
+
+
 def furniture(lines: DataFrame, page_info: DataFrame) -> DataFrame:
     """lines with kind: 'header', 'pageno', 'number' (a bare number in the margin) or null for the body.
 
@@ -73,35 +97,48 @@ def furniture(lines: DataFrame, page_info: DataFrame) -> DataFrame:
     pageno = nums.where(middle | (F.col("_dressed") & in_step)).select(*keys, F.lit("pageno").alias("kind"))
 
     # running lines: shapes at the edges of many files
-    edges = t.where("edge and not _num").select(*keys, "s", shape(F.col("s")).alias("g"), F.regexp_replace(F.lower("s"), r"(?U)[^\p{L}]+", "").alias("k"))
+    place = F.when(F.col("top") <= EDGE, F.col("top")).otherwise(-F.col("bottom"))
+    edges = t.where("edge and not _num").select(*keys, "s", place.alias("place"), shape(F.col("s")).alias("g"), F.regexp_replace(F.lower("s"), r"(?U)[^\p{L}]+", "").alias("k"))
     edges = cut(edges.where("length(k) >= 4 or g like '%<x>%'"), "edges")
-    at_edge = edges.groupBy("g").agg(F.count("*").alias("e"), F.approx_count_distinct("file_name").alias("files"))
+    by_file = edges.groupBy("g", "file_name").agg(F.count("*").alias("e"))
+    at_edge = by_file.groupBy("g").agg(F.sum("e").alias("e"), F.count("*").alias("files"))
     # the same shapes inside the pages
     inside = t.where("not edge").select(shape(F.col("s")).alias("g")).groupBy("g").agg(F.count("*").alias("i"))
     by_shape = at_edge.join(inside, "g", "left").withColumn("n", F.col("e") + F.coalesce("i", F.lit(0)))
     by_shape = cut(by_shape, "shapes")
-    all_edges = t.agg(F.sum(F.col("edge").cast("int")).alias("m"))
     ended = F.col("g").rlike(r"[.;:,]$") & ~F.col("g").rlike(r"<x>$")
-    running = by_shape.where((F.col("files") >= 3) & (F.col("e") >= 0.8 * F.col("n")) & F.col("g").rlike(r"[a-z<]") & ~ended & ~F.col("g").rlike(rf"^{PAGE_WORDS}\.? "))
-    running = running.where(F.col("e") * RUNNING >= F.coalesce(all_edges.scalar(), F.lit(0))).select("g")
-    running = cut(running, "running")
-    masks = sorted(r["g"] for r in running.collect())  # at most RUNNING short strings, by the share asked for
-    exact = edges.join(F.broadcast(running), "g", "left_semi").select(*keys, "k")
-    back = edges.groupBy("file_name", "k").agg(F.count_distinct("page_number").alias("p")).where("p >= 2").select("file_name", "k")
+    # by chance all but a fifth of the n lines of a shape stand at page edges, where any line does with probability p, at
+    # most C(n, e) p ** e times; among all shapes of the corpus fewer than one in CHANCE such cases are expected
+    p, shapes = t.agg(F.avg(F.col("edge").cast("double")).alias("p")), by_shape.agg(F.count("*").alias("c"))
+    choose = F.when(F.col("n") > F.col("e"), 0.5004 * F.col("n")).otherwise(0.0)  # ln C(n, n / 5) < 0.5004 n
+    rare = -F.col("e") * F.log(F.coalesce(p.scalar(), F.lit(1.0))) - choose >= F.log(F.lit(CHANCE) * F.greatest(shapes.scalar(), F.lit(1)))
+    all_edges = t.agg(F.sum(F.col("edge").cast("int")).alias("m"))
+    much = F.col("e") * SHARE >= F.coalesce(all_edges.scalar(), F.lit(0))  # or it makes up much of all edges of a small corpus
+    running = by_shape.where((F.col("files") >= 3) & (F.col("e") >= 0.8 * F.col("n")) & (rare | much) & F.col("g").rlike(r"[a-z<]") & ~ended & ~F.col("g").rlike(rf"^{PAGE_WORDS}\.? "))
+    running = cut(running.select("g"), "running")
+    exact = edges.join(running, "g", "left_semi").select(*keys, "k")
+    # what comes back at the same place of this page or the next but one
+    near_page = F.lead("page_number").over(W.partitionBy("file_name", "k", "place").orderBy("page_number")) - F.col("page_number")
+    pages = edges.select("file_name", "k", "place", "page_number").distinct()
+    back = pages.withColumn("gap", near_page).where("gap <= 2").select("file_name", "k").distinct()
     inner = by_shape.where(F.col("e") < 0.5 * F.col("n")).select("g")  # headings and phrases of the body
-    again = edges.where(F.size(F.split("s", r"\s+")) <= 8).join(back, ["file_name", "k"], "left_semi").join(inner, "g", "left_anti").where(~F.col("s").rlike(r"(?U)\p{Ll}[.;:,]$")).select(*keys, "k")
+    again = edges.join(back, ["file_name", "k"], "left_semi").join(inner, "g", "left_anti").where(~F.col("s").rlike(r"(?U)\p{Ll}[.;:,]$")).select(*keys, "k")
     sure = cut(exact.unionByName(again).distinct(), "headers")
     # every running line of a file is a model for its misread heads; lengths within the distance allowed are compared
     off = F.greatest(F.lit(2), F.floor(F.length("m") * 0.2).cast("int"))
     models = sure.select("file_name", F.col("k").alias("m")).distinct().withColumn("off", off)
     models = models.withColumn("len", F.explode(F.sequence(F.length("m") - F.col("off"), F.length("m") + F.col("off"))))
-    open_ = edges.join(sure.select(*keys), keys, "left_anti")
+    open_ = cut(edges.join(sure.select(*keys), keys, "left_anti"), "open")
     misread = open_.select("file_name", "k", F.length("k").alias("len")).distinct().join(models, ["file_name", "len"])
     misread = misread.where(F.levenshtein("k", "m") <= F.col("off")).select("file_name", "k").distinct()
-    long = [m for m in masks if len(re.sub(r"<x>|[\W\d]", "", m)) >= 8]
-    near_mask = reduce(lambda a, m: a | (F.levenshtein(F.col("g"), F.lit(m)) <= 2), long, F.lit(False))
-    tail = reduce(lambda a, m: a | F.col("g").endswith(m), [m.split("<x>")[-1] for m in long if m.startswith("<x> - ")], F.lit(False))
-    near = open_.where(near_mask | tail).select(*keys).unionByName(open_.join(misread, ["file_name", "k"], "left_semi").select(*keys))
+    # a head that its file shows once and misread: near a running shape of other files, or its part after the name
+    letters = F.length(F.regexp_replace("g", r"<x>|[\W\d]", "")) >= 8
+    long = running.where(letters)
+    near_shape = near_texts(open_.select("g").distinct(), long)
+    ends = long.where("g like '<x> - %'").select(F.expr("substr(g, 4)").alias("end")).distinct()
+    dash = open_.select("g", F.explode(F.expr("transform(filter(sequence(1, length(g)), i -> substr(g, i, 3) = ' - '), i -> substr(g, i))")).alias("end")).distinct()
+    tail = dash.join(ends, "end", "left_semi").select("g")
+    near = open_.join(near_shape.unionByName(tail).distinct(), "g", "left_semi").select(*keys).unionByName(open_.join(misread, ["file_name", "k"], "left_semi").select(*keys))
     header = sure.select(*keys).unionByName(near).distinct().withColumn("kind", F.lit("header"))
     bare = t.where((F.col("x") > 1000) & F.col("s").rlike(r"^[\W\d]*\d[\W\d]*$") & ~F.col("s").rlike(r"^\d[\d., ]*\.$")).select(*keys, F.lit("number").alias("kind"))
     kinds = header.unionByName(pageno).unionByName(bare)
@@ -111,12 +148,8 @@ def furniture(lines: DataFrame, page_info: DataFrame) -> DataFrame:
     return t.select(*keys, "text", "x", "x2", "y", "y2", "s").join(kinds, keys, "left")
 
 
-def vocabulary(documents: DataFrame) -> tuple[dict[str, int], set[str], set[str]]:
-    """(known words with their counts, known words in capitals, letter triples of all words) of the documents.
-
-    Words are counted over all texts; one is kept if it is at least one in ONE_IN words, which bounds the table at
-    ONE_IN entries whatever the corpus, and letter triples are bounded by the alphabet.
-    """
+def vocabulary(documents: DataFrame) -> DataFrame:
+    """(w, n): the words and compounds of all texts and how often they occur, in lower case; words in capitals are kept apart, as they may lack their accents."""
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*").findall
@@ -132,26 +165,37 @@ def vocabulary(documents: DataFrame) -> tuple[dict[str, int], set[str], set[str]
             yield pd.DataFrame({"w": list(n), "n": list(n.values())})
 
     w = documents.where("text is not null").select("text").mapInPandas(count, "w string, n long")
-    # words in capitals are kept apart, as they may lack their accents
     capitals = F.col("w") == F.upper("w")
-    w = cut(w.groupBy(F.when(capitals, F.col("w")).otherwise(F.lower("w")).alias("w")).agg(F.sum("n").alias("n")), "words")
-    total = w.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    known = w.where((F.col("n") >= KNOWN) & (F.col("n") * ONE_IN >= total))
-    words, upper = {}, set()
-    for r in known.toLocalIterator():
+    return cut(w.groupBy(F.when(capitals, F.col("w")).otherwise(F.lower("w")).alias("w")).agg(F.sum("n").alias("n")), "words")
+
+
+def frequent(words: DataFrame, most: int = LEXICON) -> tuple[dict[str, int], set[str], set[str], int]:
+    """(known words with counts, known words in capitals, letter triples, least count): at most about `most` known words.
+
+    The least count is KNOWN where all known words fit. Letter triples are those of all words seen twice, bounded by the
+    alphabet. What lies between KNOWN and the least count is left to look-ups.
+    """
+    sizes = words.where(F.col("n") >= KNOWN).groupBy("n").agg(F.count("*").alias("c"))
+    w = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0)  # one row for each count that occurs
+    sums = sizes.withColumn("upto", F.sum("c").over(w)).agg(F.coalesce(F.max("upto"), F.lit(0)).alias("all"), F.min(F.when(F.col("upto") <= most, F.col("n"))).alias("n")).first()
+    least = KNOWN if sums["all"] <= most else sums["n"] if sums["n"] is not None else 1 << 62
+    known, upper = {}, set()
+    for r in words.where(F.col("n") >= least).toLocalIterator():
         if r["w"] == r["w"].upper():
             upper.add(r["w"])
         else:
-            words[r["w"]] = r["n"]
-    marked = w.where("n >= 2 and length(w) > 0").where(~capitals).select(F.concat(F.lit("^"), "w", F.lit("$")).alias("w"))
+            known[r["w"]] = r["n"]
+    marked = words.where("n >= 2 and length(w) > 0 and w <> upper(w)").select(F.concat(F.lit("^"), "w", F.lit("$")).alias("w"))
     triples = marked.select(F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substr(w, i, 3))")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    return words, upper, {r["t"] for r in triples.where("n >= 2").toLocalIterator()}
+    return known, upper, {r["t"] for r in triples.where("n >= 2").toLocalIterator()}, least
 
 
 def fit(words: dict[str, int]) -> Editor:
-    """Train the editor on the known words, the most frequent first."""
+    """Train the editor on the known words, the most frequent first, and its line join on broken words and compounds."""
     plain = [w for w in sorted(words, key=lambda w: (-words[w], w)) if len(w) >= 3 and "-" not in w]
-    return train(plain)
+    editor = train(plain)
+    editor.breaks = train_breaks(words, pairs_of((w, n) for w, n in words.items() if "-" in w))
+    return editor
 
 
 def core_of(token: str) -> tuple[str, str, str]:
@@ -184,12 +228,15 @@ def mend_word(core: str, lex: Lexicon) -> str | None:
 
 def _mend(core: str, lex: Lexicon) -> str | None:
     low = core.lower()
-    if not core or low in lex.words or core in lex.capitals or NUMBER.fullmatch(core):
+    if not core or lex.known(low) or lex.capital(core) or NUMBER.fullmatch(core):
         return None
     digits = sum(c.isdigit() for c in core)
-    if digits and digits + sum(c in DIGITS or c in ".,%" for c in core) == len(core) and any(c in DIGITS for c in core) and not CODE.fullmatch(core):
+    if digits and digits + sum(c in FOR_DIGITS or c in ".,%" for c in core) == len(core) and any(c in FOR_DIGITS for c in core) and not CODE.fullmatch(core):
         got = lex.repair(low) if digits <= len(core) // 2 else None
-        return like(got, core) if got else "".join(DIGITS.get(c, c) for c in core)
+        if got:
+            return like(got, core)
+        # a number in which the editor reads letters as digits; the likeliest reading that is one counts
+        return next((r for r in lex.editor.readings(core) if NUMBER.fullmatch(r)), core)
     parts = re.split(r"([-'’/.])", core)
     if len(parts) > 1:
         mended = [None if i % 2 else mend_word(p, lex) for i, p in enumerate(parts)]
@@ -236,14 +283,14 @@ def mend_line(text: str, head: str, tail: str, lex: Lexicon, own: tuple[bool, bo
             continue
         if i == 0 and head:
             whole = head.lower() + core.lower()
-            got = None if whole in lex.words else lex.repair(whole)
+            got = None if lex.known(whole) else lex.repair(whole)
             if got and not got.startswith(head.lower()[:-1]):
                 got = None
             if got and got.startswith(head.lower()):
                 fixed = got[len(head) :]
                 misread = misread or fixed != core.lower()
                 t = a + fixed + z
-            elif got is None and whole not in lex.words and any(c.isdigit() or not c.isalnum() for c in core):
+            elif got is None and not lex.known(whole) and any(c.isdigit() or not c.isalnum() for c in core):
                 misread = misread or any(c.isdigit() for c in core) and any(c.isalpha() for c in core)
             out.append(t)
             i += 1
@@ -251,7 +298,7 @@ def mend_line(text: str, head: str, tail: str, lex: Lexicon, own: tuple[bool, bo
         if i == len(tokens) - 1 and tail:
             core = core.rstrip(HYPHENS)
             whole = core.lower() + tail.lower()
-            got = None if whole in lex.words else lex.repair(whole)
+            got = None if lex.known(whole) else lex.repair(whole)
             if got and got.endswith(tail.lower()):
                 fixed = got[: len(got) - len(tail)]
                 misread = misread or fixed != core.lower()
@@ -261,13 +308,15 @@ def mend_line(text: str, head: str, tail: str, lex: Lexicon, own: tuple[bool, bo
             out.append(t)
             i += 1
             continue
-        # a blank put into a word: the parts aren't words, the whole is
+        # a blank put into a word: the whole is one, the parts are none or rare
         if i + 1 < len(tokens) and not z and not (i + 2 == len(tokens) and tail):
             b, after, y = core_of(tokens[i + 1])
-            if not b and core and after and not (core.lower() in lex.words and after.lower() in lex.words):
+            if not b and core and after:
                 whole = core.lower() + after.lower()
-                split = whole in lex.words and min(lex.words.get(core.lower(), 0), lex.words.get(after.lower(), 0)) * 20 < lex.words[whole]
-                if not split and core.isalpha() and after.isalpha() and core.lower() not in lex.words and after.lower() not in lex.words and after not in lex.capitals:
+                one, two = lex.count(core.lower()), lex.count(after.lower())
+                # parts that texts cut off left among the words are far rarer than the whole
+                split = lex.known(whole) and min(one, two) * (200 if one and two else 20) < lex.count(whole)
+                if not split and core.isalpha() and after.isalpha() and not one and not two and not lex.capital(after):
                     split = len(core) + len(after) >= 5 and lex.repair(core.lower() + " " + after.lower()) is not None and lex.repair(core.lower()) is None and lex.repair(after.lower()) is None
                     whole = lex.repair(core.lower() + " " + after.lower()) if split else whole
                 if split:
@@ -285,12 +334,12 @@ def mend_line(text: str, head: str, tail: str, lex: Lexicon, own: tuple[bool, bo
                     i += 2
                     continue
         got = mend_word(core, lex)
-        if core.lower() in lex.words and core.isalpha() and len(plain) < 500_000:
-            plain.add(t)  # known words need no second look, whatever stands beside them
+        if core.isalpha() and lex.count(core.lower()) * 1000 > lex.top and len(plain) < 500_000:
+            plain.add(t)  # frequent words need no second look, whatever stands beside them
         if got is not None:
             misread = True
             t = a + got + z
-        elif core[:1].isupper() and not core.isupper() and core.isalpha() and core.lower() not in lex.words and lex.odd(core.lower()) >= 2:
+        elif core[:1].isupper() and not core.isupper() and core.isalpha() and not lex.known(core.lower()) and lex.odd(core.lower()) >= 2:
             # a name in letters that no word has, which the editor can read as something plausible
             if any(not lex.odd(r) for r in lex.editor.readings(core.lower())[:3] if r != core.lower()):
                 misread = True
@@ -306,62 +355,94 @@ def broken(word: str, rest: str, sign: str, lex: Lexicon) -> bool:
     w = word.split("-")[-1].split("'")[-1].split("’")[-1].lower()
     first = WORD.match(rest)
     r = (first.group() if first else rest).lower()
-    own = lex.words.get(f"{word.lower()}-{rest.lower()}", 0) or max((n for k, n in ((f"{w}-{r}", lex.words.get(f"{w}-{r}", 0)),)), default=0)
-    one = lex.words.get(w + r, 0)
-    if not one and not own:
-        one = 1 if (sign != "-" or lex.repair(w + r) is not None or w not in lex.words or r not in lex.words) else 0
-        # a longer compound may go on: Short-term-..., or the parts belong to a compound seen with more parts
-        if any(k.startswith(f"{w}-{r}-") or f"-{w}-{r}" in k for k in lex.compounds):
-            one = 0
-    return one > own
+    own = max(lex.count(f"{word.lower()}-{rest.lower()}"), lex.compound(w, r))
+    one = lex.count(w + r)
+    if not one and not own and lex.repair(w + r) is not None:
+        one = 1  # a part is misread
+    return lex.editor.joins(w, r, sign, (one, own, lex.count(w), lex.count(r)))
+
+
+def parts_over_lines(a: str | None, b: str | None, lex: Lexicon) -> tuple[str, str, bool]:
+    """(first part without sign, second part) of a word broken between lines a and b, or two empty texts; a known compound?"""
+    if not a or not b or a[-1] not in HYPHENS:
+        return "", "", False
+    head, tail = core_of(a[:-1].rsplit(maxsplit=1)[-1] if a[:-1].strip() and not a[-2].isspace() else "")[1], core_of(b.split(maxsplit=1)[0])[1]
+    if broken(head, tail, a[-1], lex):
+        return head, tail, False
+    return "", "", lex.compound(head.lower(), tail.lower()) > 0
+
+
+def read_line(s: str, before: str | None, after: str | None, lex: Lexicon) -> tuple[bool, bool, str, bool]:
+    """(broken at its end?, misread?, repaired text, goes on with a broken word?) of a body line between two others."""
+    head, _, own_a = parts_over_lines(before, s, lex)
+    first, tail, own_b = parts_over_lines(s, after, lex)
+    h = head.split("-")[-1].split("'")[-1].split("’")[-1]
+    text, bad = mend_line(s, h, (WORD.match(tail) or re.match("", "")).group() if tail else "", lex, (own_a, own_b))
+    return bool(first), bad, text, bool(head)
 
 
-def judged(lines: DataFrame, page_info: DataFrame, documents: DataFrame) -> DataFrame:
+def judged(lines: DataFrame, page_info: DataFrame, documents: DataFrame, most: int = LEXICON) -> DataFrame:
     """Every line with kind ('header', 'pageno', 'number' or null), hyphen, misread and its repaired text.
 
     (file_name, page_number, line_number, kind, hyphen, misread, text, y, y2). Words broken over lines are judged
-    with the next body line, on the next page if need be. Lines without text are body without noise.
+    with the next body line, on the next page if need be. Lines without text are body without noise. The `most` frequent
+    words go to every worker; where the documents have more known words, each line asks for those it needs, by joins.
     """
     lines = cut(furniture(tidy_lines(lines), page_info), "furniture")
-    words, capitals, triples = vocabulary(documents)
+    vocab = vocabulary(documents)
+    words, capitals, triples, least = frequent(vocab, most)
     editor = fit(words)
-    shared = lines.sparkSession.sparkContext.broadcast([words, capitals, triples, editor.weights, editor.offers])
+    shared = lines.sparkSession.sparkContext.broadcast([words, capitals, triples, editor.weights, editor.offers, editor.breaks])
     w = W.partitionBy("file_name").orderBy("page_number", "line_number")
     body = lines.where("kind is null").withColumn("before", F.lag("s").over(w)).withColumn("after", F.lead("s").over(w))
+    body = body.select("file_name", "page_number", "line_number", "s", "before", "after", "y", "y2").withColumn("more", F.lit(None).cast("map<string,long>"))
 
-    def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lexicon() -> Lexicon:
         state = shared.value
-        if len(state) == 5:  # one lexicon, with what it remembers, for all tasks of a Python worker
-            words, capitals, triples, weights, offers = state
-            state.append(Lexicon(words, capitals, triples, Editor(weights, offers)))
-        lex = state[5]
-
-        known = {p for k in lex.compounds for p in (k, *(k.split("-", i)[i] for i in range(1, k.count("-"))))}
-
-        def join(a: str | None, b: str | None) -> tuple[str, str, bool]:
-            """(first part without sign, second part) of a word broken between lines a and b, or two empty texts; a known compound?"""
-            if not a or not b or a[-1] not in HYPHENS:
-                return "", "", False
-            head, tail = core_of(a[:-1].rsplit(maxsplit=1)[-1] if a[:-1].strip() and not a[-2].isspace() else "")[1], core_of(b.split(maxsplit=1)[0])[1]
-            if broken(head, tail, a[-1], lex):
-                return head, tail, False
-            return "", "", f"{head.lower()}-{tail.lower()}" in known
+        if len(state) == 6:  # one lexicon, with what it remembers, for all tasks of a Python worker
+            state.append(Lexicon(*state[:3], Editor(*state[3:6])))
+        return state[6]
 
+    def read(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = lexicon()
         for pdf in batches:
             out = []
-            for s, before, after in zip(pdf["s"], pdf["before"], pdf["after"]):
-                head, _, own_a = join(before, s)
-                first, tail, own_b = join(s, after)
-                h = head.split("-")[-1].split("'")[-1].split("’")[-1]
-                text, bad = mend_line(s, h, (WORD.match(tail) or re.match("", "")).group() if tail else "", lex, (own_a, own_b))
-                out.append((bool(first), bad, text, bool(head)))
+            for s, before, after, more in zip(pdf["s"], pdf["before"], pdf["after"], pdf["more"]):
+                lex.use(dict(more) if more is not None else {})
+                out.append(read_line(s, before, after, lex))
+            lex.use({})
             yield pdf[["file_name", "page_number", "line_number", "y", "y2"]].assign(
                 hyphen=[o[0] for o in out], misread=[o[1] for o in out], text=[o[2] for o in out], joined=[o[3] for o in out]
             )
 
-    cols = ["file_name", "page_number", "line_number", "s", "before", "after", "y", "y2"]
+    def ask(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = lexicon()
+        for pdf in batches:
+            out = []
+            for i, s, before, after, more in zip(pdf["line"], pdf["s"], pdf["before"], pdf["after"], pdf["more"]):
+                lex.use(dict(more) if more is not None else {}, set())
+                read_line(s, before, after, lex)
+                out += [(i, x) for x in lex.asked]
+            lex.use({})
+            yield pd.DataFrame(out, columns=["line", "w"])
+
+    if least > KNOWN:
+        rare = cut(vocab.where((F.col("n") >= KNOWN) & (F.col("n") < least)), "rare")
+        body = cut(body.withColumn("line", F.monotonically_increasing_id()), "body")
+        known = 0
+        while True:  # a word known after all may lead to further ones
+            asked = body.select("line", "s", "before", "after", "more").mapInPandas(ask, "line long, w string")
+            hits = cut(hot_join(cut(asked, "asked"), rare, "w"), "known")
+            got = hits.select("line", "w", "n")
+            if known:
+                got = got.unionByName(body.where("more is not null").select("line", F.explode("more").alias("w", "n")))
+            more = got.groupBy("line").agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("more"))
+            if hits.isEmpty():
+                break
+            known += 1
+            body = cut(body.drop("more").join(more, "line", "left"), "body")
     schema = "file_name string, page_number int, line_number int, y int, y2 int, hyphen boolean, misread boolean, text string, joined boolean"
-    done = body.select(*cols).mapInPandas(read, schema).withColumn("kind", F.lit(None).cast("string"))
+    done = body.drop("line").mapInPandas(read, schema).withColumn("kind", F.lit(None).cast("string"))
     rest = lines.where("kind is not null").select(
         "file_name", "page_number", "line_number", "y", "y2", F.lit(False).alias("hyphen"), F.lit(False).alias("misread"), F.col("s").alias("text"), F.lit(False).alias("joined"), "kind"
     )

@@ -117,6 +117,86 @@ def test_editor_repairs_held_out_corruptions():
     assert lex.repair("xylophone") is None
 
 
+def made_up_words(rng, n):
+    """Pronounceable words with shared endings, as a language has them."""
+    stems = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4))) for _ in range(n)]
+    return sorted({s + rng.choice(["tion", "ment", "ing", "s", "er", "al"]) for s in stems})
+
+
+def test_editor_reads_numbers_it_was_not_trained_on():
+    ed, rng = editor.train(made_up_words(random.Random(1), 200)), random.Random(123)
+    tried = hit = kept = 0
+    for _ in range(400):
+        n = editor.number(rng)
+        kept += ed.readings(n)[0] == n
+        noisy, ops = editor.misread_number(n, rng)
+        assert "".join(ops) == n
+        if noisy != n:
+            tried += 1
+            hit += next((r for r in ed.readings(noisy) if scans.NUMBER.fullmatch(r)), None) == n
+    assert kept == 400 and hit / tried >= 0.85
+
+
+def test_line_joins_of_words_that_were_held_out():
+    rng = random.Random(5)
+    words = made_up_words(rng, 900)
+    rng.shuffle(words)
+    counts = {w: rng.randrange(3, 500) for w in words[:500]} | {f"{a}-{b}": 20 for a, b in zip(words[:60], words[60:120])}
+    ed = editor.Editor({}, {}, editor.train_breaks(counts, {}))
+    facts = lambda a, b: (counts.get(a + b, 0), counts.get(f"{a}-{b}", 0), counts.get(a, 0), counts.get(b, 0))
+    held = [(w[:k], w[k:]) for w in words[500:] for k in (len(w) // 2,)]
+    assert sum(ed.joins(a, b, rng.choice("-‐¬"), facts(a, b)) for a, b in held) >= 0.95 * len(held)
+    compounds = [k.split("-") for k in counts if "-" in k]
+    assert sum(not ed.joins(a, b, "-", facts(a, b)) for a, b in compounds) >= 0.95 * len(compounds)
+    suspended = [(a, b) for a, b in zip(words[120:300], words[300:480])]  # two words, the first with its second part left out
+    assert sum(not ed.joins(a, b, "-", facts(a, b)) for a, b in suspended) >= 0.9 * len(suspended)
+
+
+def test_near_texts_are_all_found(spark):
+    rng = random.Random(8)
+    models = {"".join(rng.choice("ab -<x>") for _ in range(rng.randrange(8, 16))) for _ in range(25)}
+    texts = set()
+    for m in models:
+        for edits in (0, 1, 2, 3, 4):
+            t = list(m)
+            for _ in range(edits):
+                k, i = rng.randrange(3), rng.randrange(len(t))
+                t[i : i + (k != 0)] = [] if k == 1 else [rng.choice("abc")]
+            texts.add("".join(t))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    df = lambda x: spark.createDataFrame([(t,) for t in sorted(x)], "g string")
+    got = {r["g"] for r in scans.near_texts(df(texts), df(models)).collect()}
+    assert got == {t for t in texts if any(distance(t, m) <= 2 for m in models)}
+
+
+def test_rare_words_are_looked_up(spark):
+    lines, pages, d = scan_fixture(spark)
+    words = scans.vocabulary(d)
+    all_known, _, _, least = scans.frequent(words)
+    few, _, _, more = scans.frequent(words, most=5)
+    assert least == scans.KNOWN and more > least and len(few) <= 5 < len(all_known)
+    whole = scans.judged(lines, pages, d)
+    # the same editor for both, as it is trained on the frequent words
+    fitted = scans.fit
+    try:
+        trained = fitted(all_known)
+        scans.fit = lambda _: trained
+        cols = ["file_name", "page_number", "line_number", "kind", "hyphen", "misread", "text"]
+        a = sorted(map(str, scans.judged(lines, pages, d).select(*cols).collect()))
+        assert a == sorted(map(str, scans.judged(lines, pages, d, most=5).select(*cols).collect()))
+    finally:
+        scans.fit = fitted
+    assert whole.where("misread").count() > 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sampled_from(WORDS), st.integers(0, 10_000))
 def test_operations_give_back_the_word(word, seed):
