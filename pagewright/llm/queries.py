@@ -32,6 +32,7 @@ def queries() -> dict[str, Query]:
         "p7_paragraphs": on(scans.paragraphs, "text_lines", "page_info", "documents"),
         "p8_packing": on(packing.packing, "documents"),
         "p8_report": on(packing.report, "documents"),
+        "p8_limits": on(packing.limits, "documents"),
         "p9_found": on(leaks.found, "documents", "eval_items"),
         "p9_cleaned": on(leaks.cleaned, "documents", "eval_items"),
         "p10_found": on(cuts.found, "documents"),
@@ -57,6 +58,7 @@ r(v, w) as (select a, a from bo union select r.v, bo.b from r join bo on bo.a =
         "p4_found": """with recursive s as (select least(cluster_a, cluster_b) a, greatest(cluster_a, cluster_b) b, arg_max(coalesce(case when isnan(score) then -1 else score end, -1), scored_at) s from cluster_pairs where cluster_a <> cluster_b group by 1, 2),
 e as materialized (select a, b from s where s >= 0.8), bo as (select a, b from e union select b, a from e), r(v, w) as (select a, a from bo union select r.v, bo.b from r join bo on bo.a = r.w) select v cluster_id, min(w) group_id from r group by 1""",
         "p5_found": f"with {p5} select a id_a, b id_b from p",
+        "p8_limits": r"select count(*) documents, 0::bigint over_tokens, 0::bigint over_documents, 0::bigint over_attention, 0::bigint broken from documents where regexp_matches(text, '\S')",
         "p5_links": f"""with {sets.format(f'{doc} union all {clu}')}, h as materialized (select id, any_value(c) c, md5(string_agg(f, chr(31) order by f)) h from fk group by 1), cl as materialized (select id, min(id) over (partition by h) class_id, count(*) over (partition by h) w from h),
 rep as (select distinct class_id from cl), sh as (select x.id a, y.id b, count(*) o, any_value(x.k) ka, any_value(y.k) kb from (select * from fk where id in (select class_id from rep)) x join (select * from fk where id in (select class_id from rep)) y on x.f = y.f and x.id <> y.id group by 1, 2),
 n as (select a class_id, sum(w)::bigint s from (select a, b from sh where 4 * o >= 3 * (ka + kb - o)) p join (select distinct class_id b, w from cl) c using (b) group by 1)

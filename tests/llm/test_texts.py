@@ -278,6 +278,50 @@ def test_best_fit_never_overfills(tokens):
     assert all(np.array(tokens)[b == k].sum() <= 50 and (b == k).sum() <= 4 for k in set(b.tolist()))
 
 
+def test_each_capacity_decides_a_placement():
+    cap = (100.0, 3.0, 5000.0)
+    # tokens: 60 and 40 fill a container, the 50 opens another
+    assert packing.best_fit(np.array([60, 50, 40]), (100.0, 9.0, 1e9)).tolist() == [0, 1, 0]
+    # attention: 60 and 40 cost 5200, so 40 goes to the 50 (4100)
+    assert packing.best_fit(np.array([60, 50, 40]), (100.0, 9.0, 5000.0)).tolist() == [0, 1, 1]
+    # documents: the first container has its three, the next small one must open a new one
+    assert packing.best_fit(np.array([10, 10, 10, 10]), cap).tolist() == [0, 0, 0, 1]
+    # a weight decides between two that can take the item: 8 leaves less attention in the first, fewer tokens in the second
+    tokens = np.array([70, 20, 20, 20, 8])
+    by_tokens = packing.best_fit(tokens, (80.0, 9.0, 6000.0), (1.0, 0.0, 0.0)).tolist()
+    by_attention = packing.best_fit(tokens, (80.0, 9.0, 6000.0), (0.0, 0.0, 1.0)).tolist()
+    by_documents = packing.best_fit(tokens, (80.0, 9.0, 6000.0), (0.0, 1.0, 0.0)).tolist()
+    assert by_tokens == [0, 1, 1, 1, 0] and by_attention == [0, 1, 1, 1, 0] and by_documents == [0, 1, 1, 1, 1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 50), max_size=60), st.integers(1, 9), st.integers(2500, 6000))
+def test_best_fit_keeps_all_three_limits(tokens, documents, attention):
+    t = np.array(tokens, dtype=np.int64)
+    b = packing.best_fit(t, (90.0, float(documents), float(attention)))
+    assert all(t[b == k].sum() <= 90 and (b == k).sum() <= documents and (t[b == k] ** 2).sum() <= attention for k in set(b.tolist()))
+
+
+def test_packing_under_a_binding_attention_budget(spark):
+    rng = random.Random(21)
+    sizes = [(i, rng.choice([5, 30, 120, 400, 700, 999, 3000])) for i in range(2000)]
+    p = packing.packed(spark.createDataFrame(sizes, "doc_id long, tokens long"), tokens=1000, documents=40, attention=250_000.0, part=300).collect()
+    per, of = {}, {}
+    for r in p:
+        per.setdefault(r["container_id"], []).append(r["tokens"])
+        of.setdefault(r["doc_id"], []).append((r["first_token"], r["tokens"]))
+    assert all(sum(x) <= 1000 and len(x) <= 40 and sum(n * n for n in x) <= 250_000 for x in per.values())
+    assert all(sum(n for _, n in of[i]) == n and (len(of[i]) > 1) == (n > 500) for i, n in sizes)
+    cost = sum(n * n for x in per.values() for n in x) / 250_000
+    # the scarcer of the two capacities is nearly used up
+    assert len(per) <= 1.08 * max(cost, sum(n for _, n in sizes) / 1000)
+
+
+def test_packing_of_what_cannot_be_combined(spark):
+    p = packing.packed(spark.range(900).select(F.col("id").alias("doc_id"), F.lit(60).cast("long").alias("tokens")), tokens=100, documents=5, part=100)
+    assert p.count() == 900 and p.select("container_id").distinct().count() == 900
+
+
 def test_token_counts_of_odd_texts(spark):
     got = {r["doc_id"]: r["tokens"] for r in packing.token_counts(docs(spark, [(1, "two words"), (2, ""), (3, None), (4, "x " * 50_000)]).withColumn("tokens", F.lit("clash"))).collect()}
     assert set(got) == {1, 2, 4} and got[2] == 0 and got[4] >= 50_000
