@@ -7,17 +7,23 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Words of an n-gram, and the part of an item's words that makes a leak.
-GRAM, PART = 5, 0.6
-#: Items scanned for in one pass; a larger evaluation table takes several passes, so the broadcast stays bounded.
+GRAM, PART = 4, 0.6
+#: Items up to which their n-grams go to every worker as a hash set; more are met by a join on the hash of the n-gram.
 ITEMS_PER_PASS = 20_000
-#: Part of an item's words that intact n-grams must cover before the passage is aligned. A tenth of the words
-#: misspelled at random leaves about three quarters covered, so a quarter is well on the safe side.
-COVER = 1 / 4
+#: Bits of the filter that a larger table sends to every worker instead, whatever its size.
+FILTER_BITS = 1 << 26
+#: Part of an item's words that must stand intact and in order about a hit before the passage is aligned with slips
+#: allowed. A leak has PART of the words; up to four in ten of those may be misspelled.
+INTACT = 0.35
 
 _WORD = re.compile(r"[^\W_]+")
 _DROP = re.compile(r"(?<=\w)['’`´](?=\w)|(?<=\d)[.,](?=\d)")
@@ -94,17 +100,34 @@ def align(item: list[str], doc: list[str]) -> tuple[int, int, int]:
     return best[1], best[2], best[3]
 
 
+def places(item: list[str]) -> dict[str, int]:
+    """Where each word stands in the item, as the bits of a number."""
+    out: dict[str, int] = {}
+    for k, w in enumerate(item):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def in_order(at: dict[str, int], m: int, doc: list[str]) -> int:
+    """Length of the longest common subsequence of an item of m words and doc, all places of the item at once (bit-parallel)."""
+    ones = (1 << m) - 1
+    v = ones
+    for w in doc:
+        if u := v & at.get(w, 0):
+            v = ((v + u) | (v - u)) & ones
+    return m - v.bit_count()
+
+
 class Items:
     """Normalised items and the set of their n-grams."""
 
     def __init__(self, rows: Iterable[tuple[int, str]]):
-        self.words = {i: [w for w, _, _ in words(t)] for i, t in rows if i is not None and t}
-        self.words = {i: w for i, w in self.words.items() if w}
+        self.items = [(i, w) for i, w in ((i, [w for w, _, _ in words(t)]) for i, t in sorted(rows)) if w]
+        self.places = [places(w) for _, w in self.items]
         self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for i, w in sorted(self.words.items()):
-            n = min(GRAM, len(w))
-            for k in range(len(w) - n + 1):
-                self.grams[tuple(w[k : k + n])].append((i, k))
+        for j, (_, w) in enumerate(self.items):
+            for k, g in enumerate(grams(w)):
+                self.grams[g].append((j, k))
         self.lengths = sorted({len(g) for g in self.grams})
         self.keys = set(self.grams)
 
@@ -118,68 +141,126 @@ class Items:
         hits = defaultdict(list)
         for n in self.lengths:
             for d, g in enumerate(zip(*(w[k:] for k in range(n)))):
-                for i, k in self.grams.get(g, ()):
-                    hits[i].append((d, k))
-        out = []
-        for i, at in hits.items():
-            item = self.words[i]
+                for j, k in self.grams.get(g, ()):
+                    hits[j].append(d - k)
+        out: dict[int, tuple[float, int, int]] = {}
+        for j, shifts in hits.items():
+            i, item = self.items[j]
             m = len(item)
-            at.sort(key=lambda x: x[0] - x[1])
+            shifts.sort()
             best = None
             # hits whose shift is close belong to one passage; a passage is aligned once
             a = 0
             tried: list[tuple[int, int]] = []
-            for b in range(len(at)):
-                while at[b][0] - at[b][1] - (at[a][0] - at[a][1]) > max(6, m // 4):
+            for b in range(len(shifts)):
+                while shifts[b] - shifts[a] > max(6, m // 4):
                     a += 1
-                if b + 1 < len(at) and at[b + 1][0] - at[b + 1][1] - (at[a][0] - at[a][1]) <= max(6, m // 4):
+                if b + 1 < len(shifts) and shifts[b + 1] - shifts[a] <= max(6, m // 4):
                     continue
-                near = at[a : b + 1]
-                n = min(GRAM, m)
-                covered = {k + x for _, k in near for x in range(n)}
-                if len(covered) < COVER * m:
-                    continue
-                lo = max(0, min(d - k for d, k in near) - m // 5 - 3)
-                hi = min(len(w), max(d - k for d, k in near) + m + m // 5 + 3)
+                lo, hi = max(0, shifts[a] - m // 5 - 3), min(len(w), shifts[b] + m + m // 5 + 3)
                 if any(x <= lo and hi <= y for x, y in tried):
                     continue
                 tried.append((lo, hi))
+                if in_order(self.places[j], m, w[lo:hi]) < INTACT * m:
+                    continue
                 got, f, z = align(item, w[lo:hi])
                 if got and (best is None or got > best[0]):
                     best = (got, full[lo + f][1], full[lo + z][2])
-            if best and best[0] >= PART * m - 1e-9:
-                out.append((i, best[0] / m, best[1], best[2]))
-        return out
+            if best and best[0] >= PART * m - 1e-9 and best[0] / m > out.get(i, (0.0,))[0]:
+                out[i] = (best[0] / m, best[1], best[2])
+        return [(i, *x) for i, x in out.items()]
 
 
-def _passes(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
-    parts = max(1, -(-rows.count() // ITEMS_PER_PASS))
-    for p in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+def grams(w: list[str]) -> list[tuple[str, ...]]:
+    """The n-grams of the words; all of them as one if there are fewer than GRAM."""
+    n = min(GRAM, len(w))
+    return [tuple(w[k : k + n]) for k in range(len(w) - n + 1)] if n else []
+
+
+def code(gram: tuple[str, ...]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(gram)) - (1 << 63)
+
 
+HIT = "doc_id long, item_id long, part double, first int, last int"
+
+
+def _few(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every text against the hash set of all items, which is broadcast and built once in a worker."""
+    shared = documents.sparkSession.sparkContext.broadcast([[(r["item_id"], r["text"]) for r in rows.collect()]])
+
+    def scan(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = shared.value
+        if len(state) == 1:
+            state.append(Items(state[0]))
+        known = state[1]
+        for pdf in batches:
+            got = [(d, *hit) for d, t in zip(pdf["doc_id"], pdf["text"]) for hit in known.scan(t)]
+            yield pd.DataFrame(got, columns=["doc_id", "item_id", "part", "first", "last"])
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    return documents.mapInPandas(scan, HIT)
+
+
+def _many(documents: DataFrame, rows: DataFrame, bits: int) -> DataFrame:
+    """One pass over the texts with a filter of fixed size; what passes it meets the n-grams of the items in a join."""
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "items")
+
+    def of_items(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for r, t in zip(pdf["row"], pdf["text"]):
+                w = plain_words(t)
+                got += [(r, len(w), g) for g in {code(g) for g in grams(w)}]
+            yield pd.DataFrame(got, columns=["row", "m", "gram"])
+
+    known = cut(rows.select("row", "text").mapInPandas(of_items, "row long, m int, gram long"), "grams")
+    lengths = [r["m"] for r in known.select(F.least("m", F.lit(GRAM)).alias("m")).distinct().collect()]  # 1 to GRAM
+    word = known.select(F.pmod("gram", F.lit(bits)).alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("set"))
+    filled = np.zeros(-(-bits // 64), dtype=np.int64)  # at most bits / 64 rows are collected
+    for r in word.toLocalIterator():
+        filled[r["at"]] = r["set"]
+    shared = documents.sparkSession.sparkContext.broadcast(filled)
+
+    def of_texts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        has = shared.value
+        for pdf in batches:
+            got = []
+            for d, t in zip(pdf["doc_id"], pdf["text"]):
+                w = plain_words(t)
+                for n in lengths:
+                    codes = np.array([code(g) for g in zip(*(w[k:] for k in range(n)))], dtype=np.int64)
+                    at = codes % bits
+                    for c in set(codes[(has[at >> 6] >> (at & 63)) & 1 == 1].tolist()):
+                        got.append((d, c))
+            yield pd.DataFrame(got, columns=["doc_id", "gram"])
+
+    hits = cut(documents.mapInPandas(of_texts, "doc_id long, gram long").distinct(), "hits")
+    pairs = hits.join(known.select("gram", "row"), "gram").select("doc_id", "row").distinct()
+    pairs = cut(pairs, "pairs").join(rows, "row").select("doc_id", "item_id", F.col("text").alias("item"))
+    both = cut(pairs.join(documents.select("doc_id", "text"), "doc_id"), "candidates")
+
+    def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(d, *hit) for d, i, x, t in zip(pdf["doc_id"], pdf["item_id"], pdf["item"], pdf["text"]) for hit in Items([(i, x)]).scan(t)]
+            yield pd.DataFrame(got, columns=["doc_id", "item_id", "part", "first", "last"])
+
+    return both.mapInPandas(verify, HIT)
+
+
+def leaks(documents: DataFrame, items: DataFrame, most: int | None = None, bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, item_id, part, first, last): every item of which at least PART of the words stand in one passage of a text.
 
-    The corpus is only read: no shuffle, the items go to the tasks as a hash set of normalised n-grams, and just
-    the windows that hit it are aligned. Null texts hold nothing; an item without words is never found; copies of
-    a text are each reported; of several passages of one item the fullest is given.
+    Up to `most` items (ITEMS_PER_PASS) the corpus is only read: no shuffle, the items go to the tasks as a hash set of normalised n-grams,
+    and just the windows that hit it are aligned. More items than that are never held by a worker: the n-grams of the
+    texts that pass a filter of `bits` bits meet those of the items in a join, and the pairs found are aligned alike. Null
+    texts hold nothing; an item without words is never found; copies of a text are each reported; of several passages of
+    one item, or several texts under one item_id, the fullest is given.
     """
-    schema = "doc_id long, item_id long, part double, first int, last int"
-    out = None
-    for rows in _passes(items):
-
-        def scan(batches: Iterable[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            known = Items(rows)
-            for pdf in batches:
-                got = [(d, *hit) for d, t in zip(pdf["doc_id"], pdf["text"]) for hit in known.scan(t)]
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "part", "first", "last"])
-
-        one = documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(scan, schema)
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    if rows.count() <= (ITEMS_PER_PASS if most is None else most):
+        return _few(docs, rows)
+    got = _many(docs, rows, bits).withColumn("s", F.struct("part", "first", "last"))
+    return got.groupBy("doc_id", "item_id").agg(F.max("s").alias("s")).select("doc_id", "item_id", "s.*")
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -377,6 +377,56 @@ def test_item_passes_cover_all(spark, monkeypatch):
     assert {r["item_id"] for r in got.collect()} == set(range(7))
 
 
+def damaged(item, rate, rng):
+    """The words with about `rate` of them missing or misspelled."""
+    out = []
+    for w in item:
+        if rng.random() >= rate:
+            out.append(w)
+        elif rng.random() < 0.5:
+            k = rng.randrange(1, len(w) - 2)
+            out.append(w[:k] + w[k + 1] + w[k] + w[k + 2 :])
+    return out
+
+
+@pytest.mark.parametrize("rate, least", [(0.1, 1.0), (0.2, 1.0), (0.3, 0.97), (0.4, 0.9)])
+def test_recall_of_damaged_passages(rate, least):
+    rng = random.Random(int(rate * 100))
+    vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(5, 10))) for _ in range(4000)]
+    fill = [rng.choice(vocab) for _ in range(200)]
+    tried = hit = 0
+    for _ in range(150):
+        item = [rng.choice(vocab) for _ in range(rng.randrange(30, 70))]
+        doc = fill[:100] + damaged(item, rate, rng) + fill[100:]
+        if leaks.align(item, doc)[0] >= leaks.PART * len(item):
+            tried += 1
+            hit += bool(leaks.Items([(1, " ".join(item))]).scan(" ".join(doc)))
+    assert tried > 100 and hit >= least * tried
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcde"), max_size=12), st.lists(st.sampled_from("abcde"), max_size=12))
+def test_words_in_order_are_the_longest_common_subsequence(item, doc):
+    row = [0] * (len(item) + 1)
+    for x in doc:
+        new = [0]
+        for k, y in enumerate(item):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[k]))
+        row = new
+    assert leaks.in_order(leaks.places(item), len(item), doc) == row[-1]
+
+
+def test_many_items_give_what_few_do(spark):
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice("quarry liquidator bundle warrants harvest syndicate tonnes slate widow tramway option pasture orchard ferry".split()) for _ in range(n)) for n in (2, 3, 8, 20, 40, 60) * 4]
+    items = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)] + [(99, ""), (98, None)], "item_id long, text string")
+    rows = [(i, FILL + " ".join(damaged(rng.choice(texts).split() * 1, 0.15, rng)) + " " + FILL) for i in range(60)] + [(70, None), (71, ""), (72, texts[3])]
+    few = sorted(map(tuple, leaks.leaks(docs(spark, rows), items).collect()))
+    for bits in (64, 1 << 12, 1 << 20):
+        assert sorted(map(tuple, leaks.leaks(docs(spark, rows), items, most=3, bits=bits).collect())) == few
+    assert len(few) > 30 and leaks.leaks(docs(spark, rows), items.where("item_id = 99"), most=0).count() == 0
+
+
 # ---- problem 10 ------------------------------------------------------------------------------------------------
 
 
