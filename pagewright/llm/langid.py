@@ -20,12 +20,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FIT_ROWS = 800
 #: Rounds of expectation-maximisation.
 EM_ROUNDS = 2
-#: Added to every piece count; words longer than this are scored by their beginning.
-SMOOTH, LONGEST = 0.05, 30
+#: Added to every piece count; beyond so many characters a word is summed in logarithms, and fitted in parts of this length.
+SMOOTH, LONG = 0.05, 24
 #: Words remembered by one task.
 CACHE = 400_000
-#: The most a single word may tell against a language: a name or a foreign word doesn't decide a sentence.
-LIMIT = 4.0
 #: Lead over the next language from which a sentence is assigned, and the scale that makes a lead a confidence.
 LEAD, SCALE = 5.0, 3.0
 
@@ -78,6 +76,12 @@ class Pieces:
 
     def forward(self, word: str) -> np.ndarray:
         """Log probability of the word under each language, all segmentations summed."""
+        if len(word) > LONG:
+            b = np.full((len(word) + 1, len(LANGS)), -np.inf)
+            b[0] = 0.0
+            for i, j, k in self.edges(word):
+                b[j] = np.logaddexp(b[j], b[i] + (self.logp[k] if k >= 0 else self.floor))
+            return b[-1]
         a: list = [0.0] * (len(word) + 1)
         a[0] = np.ones(len(LANGS))
         for i, j, k in self.edges(word):
@@ -110,7 +114,7 @@ def _from_counts(pieces: dict[str, int], counts: np.ndarray) -> Pieces:
 
 def marked(word: str) -> str:
     """The word as the vocabulary sees it: lower case, with the sign of a word's beginning."""
-    return "▁" + word.lower()[:LONGEST]
+    return "▁" + word.lower()
 
 
 def fit(rows: Sequence[tuple[str, dict[str, int]]], vocabulary: str = VOCABULARY) -> Pieces:
@@ -178,7 +182,8 @@ def labelled_rows(documents: DataFrame, fit_rows: int = FIT_ROWS) -> list[tuple[
     for r in d.select("lang", "text", "h").orderBy("lang", "h").toLocalIterator():
         c: dict[str, int] = defaultdict(int)
         for w in WORD.findall(r["text"]):
-            c[marked(w)] += 1
+            for k in range(0, len(w), LONG - 1):
+                c[marked(w[k : k + LONG - 1])] += 1
         out.append((r["lang"], dict(c)))
     return out
 
@@ -195,12 +200,12 @@ class Scorer:
         if k == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         v = self.model.forward(marked(w))
-        self.rows[k] = np.maximum(v - v.max(), -LIMIT)
+        self.rows[k] = v - v.max()
         self.known[w] = k
         return k
 
     def scores(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(log scores of each text and language, words of each text); no word tells more than LIMIT against a language."""
+        """(log scores of each text and language, words of each text); each word by its marginal likelihood."""
         if len(self.known) >= CACHE:
             self.known.clear()
         get, ids, n = self.known.get, [], []
@@ -222,9 +227,14 @@ def confidence(score: np.ndarray) -> float:
     return float(e.max() / e.sum())
 
 
-# a sentence ends at its sign before white space, but not after a number (ordinals, dates) or a single letter
+# a sentence ends at its sign before white space, or at the end of its line
 STOP = re.compile(r"[.!?][)\]»”\"']*(?=\s)|[\r\n]+")
 ENDED = (".", "!", "?", ".)", ".]", ".»", ".”", '."')
+# What a full stop may belong to instead: days before German months, and legal forms, which end a sentence
+# only before a capital letter.
+MONTHS = ("Jan", "Jän", "Feb", "Mär", "Mrz", "Apr", "Mai", "Jun", "Jul", "Aug", "Sep", "Okt", "Nov", "Dez")
+FORM = re.compile(r"(?:S\.A|r\.l|N\.V|B\.V|S\.L|S\.p\.A)$")
+DAY = re.compile(r"(?<!\d)\d{1,2}$")
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
@@ -234,8 +244,17 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         a, b = m.span()
         if text[a] in "\r\n":
             b = a
-        elif text[a - 1 : a].isdigit() or not text[max(at, a - 2) : a].isalpha() and text[a - 1 : a] not in ")]»”\"%":
-            continue
+        elif not text[max(at, a - 2) : a].isalpha() and text[a - 1 : a] not in ")]»”\"%":
+            # after a number, a legal form or a single letter
+            after = text[b : b + 40].lstrip()
+            if not after[:1].isupper():
+                continue
+            if text[a - 1 : a].isdigit():
+                day = DAY.search(text[max(at, a - 3) : a])
+                if day and after.startswith(MONTHS) or text[at:a].strip().isdigit():
+                    continue
+            elif not FORM.search(text[max(at, a - 6) : a]):
+                continue
         if text[at:b].strip():
             yield at, b
         at = m.end()

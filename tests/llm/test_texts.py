@@ -81,6 +81,28 @@ def test_reads_documents(spark, labelled, model):
     assert 0.2 <= got[3]["confidence"] <= 1
 
 
+def test_long_words_are_scored_whole(model):
+    word = langid.marked("gesellschafterversammlung")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(langid, "LONG", 10**9)
+        plain = model.forward(word)
+    assert len(word) > langid.LONG and np.allclose(model.forward(word), plain)
+    assert np.isfinite(model.forward(langid.marked("x" * 5_000))).all()
+
+
+@pytest.mark.parametrize("text, n", [
+    ("As shown in note 12. The board approved it.", 2), ("Beschluss vom 9. April 2011. Der Vorstand prüfte 3. Dezember.", 2), ("12. The board approved it.", 1), ("It rose by 3.5 per cent. So it did.", 2),
+    ("Granted to Keltav S.A. The board approved it.", 2), ("Granted to Keltav S.à r.l. for one year.", 1), ("He met J. Smith. Then he left.", 2), ("One\r\nTwo.\n\nThree", 3), ("", 0), (" . ", 1),
+])
+def test_sentences(text, n):
+    assert len(list(langid.sentences(text))) == n
+
+
+def test_two_sentences_after_a_number_count(spark, model):
+    text = " ".join([*EN, FR[0].rstrip(".") + " en 2009.", FR[1].rstrip(".") + " à la note 12.", EN[0]])
+    assert next(langid.read_texts([text], langid.Scorer(model)))[2] == ["eng", "fra"]
+
+
 def test_wrong_labels_fade(spark, model):
     held = {"eng": "The subsidiary has approved the shares of the board.", "fra": "La filiale a approuvé les parts de la société.", "deu": "Die Tochter hat die Anteile der Gesellschaft genehmigt."}
     for lang, x in held.items():
