@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 #: Pages one run may read, and the pages two consecutive windows share.
 LIMIT, OVERLAP = 200, 5
+#: Windows handed on at once.
+ROWS = 50_000
 
 
 def merge_segments(n: int, strength: dict[int, float], limit: int, overlap: int) -> list[tuple[int, int]]:
@@ -20,8 +22,10 @@ def merge_segments(n: int, strength: dict[int, float], limit: int, overlap: int)
     Agglomerative: every unit starts as a segment; the boundaries between neighbours lie in a heap and the
     weakest goes first while the merged segment still fits. A segment that is not the first carries the
     overlap in front of it, so it may hold limit - overlap units of its own. strength[i] is the weight of the
-    boundary after unit i (0 where absent). Equal boundaries merge from the left, and a boundary whose
-    merge does not fit now never fits later, as segments only grow.
+    boundary after unit i (0 where absent, not below 0). Equal boundaries merge from the left, and a boundary whose
+    merge does not fit now never fits later, as segments only grow. All boundaries of weight 0 go before the others, from
+    the left, so what they give is known without listing the units: full segments and a rest between one change and the
+    next. Only the changes are put in the heap; the memory is that of the windows and the changes.
     """
     if n <= 0:
         return []
@@ -29,20 +33,24 @@ def merge_segments(n: int, strength: dict[int, float], limit: int, overlap: int)
         return [(1, n)]
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
-    right = list(range(n + 2))  # right[start] = last unit of the segment that starts there
-    left = list(range(n + 2))  # left[end] = first unit of the segment that ends there
-    heap = [(strength.get(i, 0.0), i) for i in range(1, n)]
+    room = lambda a: limit - (overlap if a > 1 else 0)
+    heap = [(w, i) for i, w in strength.items() if 1 <= i < n and w > 0]
+    right: dict[int, int] = {}  # first unit of a segment -> its last
+    left: dict[int, int] = {}  # and the other way round
+    a = 1
+    for end in [*sorted(i for _, i in heap), n]:
+        while a <= end:
+            b = min(end, a + room(a) - 1)
+            right[a], left[b] = b, a
+            a = b + 1
     heapq.heapify(heap)
     while heap:
         _, i = heapq.heappop(heap)
         a, b = left[i], right[i + 1]
-        if b - a + 1 + (overlap if a > 1 else 0) <= limit:
+        if b - a + 1 <= room(a):
+            del left[i], right[i + 1]
             right[a], left[b] = b, a
-    out, a = [], 1
-    while a <= n:
-        out.append((max(1, a - overlap) if a > 1 else 1, right[a]))
-        a = right[a] + 1
-    return out
+    return [(max(1, a - overlap) if a > 1 else 1, right[a]) for a in sorted(right)]
 
 
 def requested_pages(jobs: DataFrame, page_info: DataFrame) -> DataFrame:
@@ -118,6 +126,8 @@ def split_requests(jobs: DataFrame, page_info: DataFrame, limit: int = LIMIT, ov
     changes = changes.groupBy("file_name").agg(F.sort_array(F.collect_list(F.struct("after_page", "strength"))).alias("changes"))
     rows = long.join(changes, "file_name", "left").select("job_id", "first_page", "last_page", "requested", "changes")
 
+    cols = ["job_id", "window_no", "page_from", "page_to", "requested"]
+
     def cut_up(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
@@ -126,7 +136,10 @@ def split_requests(jobs: DataFrame, page_info: DataFrame, limit: int = LIMIT, ov
                 strength = {c["after_page"] - r.first_page + 1: c["strength"] for c in changes}
                 for i, (a, b) in enumerate(merge_segments(int(r.requested), strength, limit, overlap)):
                     out.append((r.job_id, i, r.first_page + a - 1, r.first_page + b - 1, r.requested))
-            yield pd.DataFrame(out, columns=["job_id", "window_no", "page_from", "page_to", "requested"])
+                    if len(out) == ROWS:
+                        yield pd.DataFrame(out, columns=cols)
+                        out = []
+            yield pd.DataFrame(out, columns=cols)
 
     schema = "job_id long, window_no int, page_from long, page_to long, requested long"
     short = ask.where(F.col("requested") <= limit).select("job_id", F.lit(0).alias("window_no"), F.col("first_page").alias("page_from"), F.col("last_page").alias("page_to"), "requested")

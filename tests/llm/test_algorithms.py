@@ -65,6 +65,29 @@ def test_windows_cover_overlap_and_fit(n, limit, data):
         assert a == max(1, before - overlap + 1)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 400), st.integers(1, 40), st.data())
+def test_windows_are_those_of_merging_single_units(n, limit, data):
+    overlap = data.draw(st.integers(0, limit - 1))
+    strength = data.draw(st.dictionaries(st.integers(-3, 410), st.sampled_from([0.0, 1.0, 2.0, 2.5]), max_size=30))
+    segments = [[i, i] for i in range(1, n + 1)]
+    if n > limit:
+        for _, i in sorted((strength.get(i, 0.0), i) for i in range(1, n)):
+            k = next(k for k, s in enumerate(segments) if s[1] == i)
+            a, b = segments[k][0], segments[k + 1][1]
+            if b - a + 1 + (overlap if a > 1 else 0) <= limit:
+                segments[k : k + 2] = [[a, b]]
+        want = [(a - overlap if a > overlap and a > 1 else 1, b) for a, b in segments]
+    else:
+        want = [(1, n)] if n else []
+    assert windows.merge_segments(n, strength, limit, overlap) == want
+
+
+def test_windows_of_an_implausible_total():
+    got = windows.merge_segments(20_000_000, {7_000: 2.0}, 200, 5)
+    assert len(got) > 100_000 and got[-1][1] == 20_000_000 and (6_996, 7_195) in got
+
+
 def test_windows_end_at_the_strongest_change():
     got = windows.merge_segments(300, {140: 5.0, 150: 1.0}, 200, 5)
     assert got[0] == (1, 140) and got[-1][1] == 300
@@ -273,6 +296,24 @@ def test_greedy_determinant_equals_plain_greedy():
     assert subset.greedy_determinant([], 3) == []
 
 
+def test_core_sets_reach_the_determinant_of_the_whole(spark):
+    rng = random.Random(4)
+    sets = family_sets(rng, families=12, size=40)
+    whole = {k: v for k, v in sets.items()}
+    recs, _ = setjoin.classes(subset.item_sets(doc_features(spark, sets), spark.createDataFrame([], CLUSTERS)))
+    rows = sorted(recs.collect(), key=lambda r: r["class_id"])
+    at = subset.greedy_determinant([np.asarray(r["toks"], dtype=np.int64) for r in rows], 15, [r["k"] for r in rows])
+    once = [rows[i]["class_id"] for i in at]
+    parted = [r["doc_id"] for r in subset.varied_subset(subset.item_sets(doc_features(spark, sets), spark.createDataFrame([], CLUSTERS)), 15, part=60).collect()]
+
+    def logdet(ids):
+        kernel = np.array([[jaccard(whole[a], whole[b]) for b in ids] for a in ids]) + subset.RIDGE * np.eye(len(ids))
+        return np.linalg.slogdet(kernel)[1]
+
+    assert logdet(parted) >= logdet(once) - 0.05 * len(once)
+    assert logdet(rng.sample(sorted(whole), 15)) < logdet(parted) - 1
+
+
 def test_subset_spreads_over_families(spark):
     sets = family_sets(random.Random(9), families=5, size=30)
     f = doc_features(spark, sets)
