@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from operator import itemgetter
 
 #: Words, corruptions of each, and passes of the training; a word's rank by frequency decides whether it is among them.
-TRAIN_WORDS, CORRUPTIONS, EPOCHS = 4_000, 6, 3
+TRAIN_WORDS, CORRUPTIONS, EPOCHS = 4_000, 5, 2
 #: Alternatives kept while a word is decoded, operations offered for a character at most, and the lead over keeping a character that the model must not exceed to offer one.
 BEAM, OFFERED, SPREAD = 40, 8, 60.0
 #: Numbers and broken words among the training examples, passes over the broken words, and the lead that each should have.
@@ -231,26 +231,33 @@ def train(words: Sequence[str], seed: int = 7) -> Editor:
         for c, op in zip(s, ops):
             offers[c] |= {op, c}
     plain = {c: tuple(sorted(x)) for c, x in offers.items()}
-    weights: dict[str, dict[str, float]] = defaultdict(dict)
-    sums: dict[str, dict[str, float]] = defaultdict(dict)
+    # features as numbers, worked out once for each place that has a choice
+    number_of: dict[str, int] = {}
+    places = [
+        ([number_of.setdefault(f, len(number_of)) for f in features(s, i)], plain[s[i]], gold)
+        for s, ops in data for i, gold in enumerate(ops) if len(plain[s[i]]) > 1
+    ]
+    weights: list[dict[str, float]] = [{} for _ in number_of]
+    sums: list[dict[str, float]] = [{} for _ in number_of]
     step = 0
-    model = Editor(weights, plain)
     for _ in range(EPOCHS):
-        rng.shuffle(data)
-        for s, ops in data:
-            for i, gold in enumerate(ops):
-                step += 1
-                if len(plain[s[i]]) == 1:
-                    continue
-                guess = model.scored(s, i)[0][1]
-                if guess != gold:
-                    for f in features(s, i):
-                        w, t = weights[f], sums[f]
-                        w[gold] = w.get(gold, 0.0) + 1
-                        w[guess] = w.get(guess, 0.0) - 1
-                        t[gold] = t.get(gold, 0.0) + step
-                        t[guess] = t.get(guess, 0.0) - step
-    mean = {f: {op: v - sums[f][op] / max(step, 1) for op, v in w.items() if v or sums[f][op]} for f, w in weights.items()}
+        rng.shuffle(places)
+        for feats, offered, gold in places:
+            step += 1
+            total = dict.fromkeys(offered, 0.0)
+            for f in feats:
+                for op, v in weights[f].items():
+                    if op in total:
+                        total[op] += v
+            guess = max(offered, key=total.__getitem__)  # the first of ties, offered is sorted
+            if guess != gold:
+                for f in feats:
+                    w, t = weights[f], sums[f]
+                    w[gold] = w.get(gold, 0.0) + 1
+                    w[guess] = w.get(guess, 0.0) - 1
+                    t[gold] = t.get(gold, 0.0) + step
+                    t[guess] = t.get(guess, 0.0) - step
+    mean = {f: {op: v - sums[n][op] / max(step, 1) for op, v in weights[n].items() if v or sums[n][op]} for f, n in number_of.items() if weights[n]}
     return Editor(mean, plain)
 
 
@@ -281,11 +288,12 @@ class Lexicon:
         self.memory: dict[str, str | None] = {}
         self.mended: dict[str, str | None] = {}
         self.plain: set[str] = set()
+        self.parts: dict[str, tuple[str, str, str, str, int]] = {}
 
     def use(self, more: dict[str, int], asked: set[str] | None = None) -> None:
         """Take these words as known too, and note in asked what isn't; what was remembered may no longer hold."""
         if more or self.more or asked is not None:
-            self.memory, self.mended, self.plain = {}, {}, set()
+            self.memory, self.mended, self.plain, self.parts = {}, {}, set(), {}
         self.more, self.asked = more, asked
 
     def count(self, w: str) -> int:

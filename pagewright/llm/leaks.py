@@ -133,16 +133,17 @@ class Items:
 
     def scan(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item_id, part of its words found, first and last character of the passage) for each item in the text."""
-        t = plain_words(text)
-        if not any(not self.keys.isdisjoint(zip(*(t[k:] for k in range(n)))) for n in self.lengths):
+        w = plain_words(text)
+        met = [self.keys.intersection(zip(*(w[k:] for k in range(n)))) for n in self.lengths]
+        if not any(met):
             return []
-        full = words(text)
-        w = [x[0] for x in full]
         hits = defaultdict(list)
-        for n in self.lengths:
-            for d, g in enumerate(zip(*(w[k:] for k in range(n)))):
-                for j, k in self.grams.get(g, ()):
-                    hits[j].append(d - k)
+        for n, some in zip(self.lengths, met):
+            for d, g in enumerate(zip(*(w[k:] for k in range(n)))) if some else ():
+                if g in some:
+                    for j, k in self.grams[g]:
+                        hits[j].append(d - k)
+        full: list[tuple[str, int, int]] = []  # where the words stand, worked out for texts with a passage
         out: dict[int, tuple[float, int, int]] = {}
         for j, shifts in hits.items():
             i, item = self.items[j]
@@ -163,7 +164,9 @@ class Items:
                 tried.append((lo, hi))
                 if in_order(self.places[j], m, w[lo:hi]) < INTACT * m:
                     continue
-                got, f, z = align(item, w[lo:hi])
+                if not full:
+                    full = words(text)
+                got, f, z = align(item, [x for x, _, _ in full[lo:hi]])
                 if got and (best is None or got > best[0]):
                     best = (got, full[lo + f][1], full[lo + z][2])
             if best and best[0] >= PART * m - 1e-9 and best[0] / m > out.get(i, (0.0,))[0]:

@@ -208,6 +208,18 @@ def core_of(token: str) -> tuple[str, str, str]:
     return token[:a], token[a:b], token[b:]
 
 
+def parts_of(token: str, lex: Lexicon) -> tuple[str, str, str, str, int]:
+    """core_of the token, the word in lower case, and how often the documents have it."""
+    got = lex.parts.get(token)
+    if got is None:
+        if len(lex.parts) > 300_000:
+            lex.parts.clear()
+        a, core, z = core_of(token)
+        low = core.lower()
+        got = lex.parts[token] = a, core, z, low, lex.count(low) if core else 0
+    return got
+
+
 NUMBER = re.compile(r"[+-]?\d{1,3}(?:[.,]\d{3})*(?:[.,]\d{1,2})?%?|\d+(?:[.,]\d{1,2})?%?")
 CODE = re.compile(r"\d+(?:[-/.]\d+)*|\d+(?:er|re|e|º|ª|th|st|nd|rd|ème)|[^\W\d_]+[-/]\d+")
 
@@ -276,7 +288,7 @@ def mend_line(text: str, head: str, tail: str, lex: Lexicon, own: tuple[bool, bo
     i = 0
     while i < len(tokens):
         t = tokens[i]
-        a, core, z = core_of(t)
+        a, core, z, low, one = parts_of(t, lex)
         if i == 0 and own[0] or i == len(tokens) - 1 and own[1]:
             out.append(t)
             i += 1
@@ -310,15 +322,14 @@ def mend_line(text: str, head: str, tail: str, lex: Lexicon, own: tuple[bool, bo
             continue
         # a blank put into a word: the whole is one, the parts are none or rare
         if i + 1 < len(tokens) and not z and not (i + 2 == len(tokens) and tail):
-            b, after, y = core_of(tokens[i + 1])
+            b, after, y, low_after, two = parts_of(tokens[i + 1], lex)
             if not b and core and after:
-                whole = core.lower() + after.lower()
-                one, two = lex.count(core.lower()), lex.count(after.lower())
+                whole = low + low_after
                 # parts that texts cut off left among the words are far rarer than the whole
                 split = lex.known(whole) and min(one, two) * (200 if one and two else 20) < lex.count(whole)
                 if not split and core.isalpha() and after.isalpha() and not one and not two and not lex.capital(after):
-                    split = len(core) + len(after) >= 5 and lex.repair(core.lower() + " " + after.lower()) is not None and lex.repair(core.lower()) is None and lex.repair(after.lower()) is None
-                    whole = lex.repair(core.lower() + " " + after.lower()) if split else whole
+                    split = len(core) + len(after) >= 5 and lex.repair(low + " " + low_after) is not None and lex.repair(low) is None and lex.repair(low_after) is None
+                    whole = lex.repair(low + " " + low_after) if split else whole
                 if split:
                     out.append(a + like(whole, core) + y)
                     misread = True
@@ -334,12 +345,12 @@ def mend_line(text: str, head: str, tail: str, lex: Lexicon, own: tuple[bool, bo
                     i += 2
                     continue
         got = mend_word(core, lex)
-        if core.isalpha() and lex.count(core.lower()) * 1000 > lex.top and len(plain) < 500_000:
+        if one * 5_000 > lex.top and core.isalpha() and len(plain) < 500_000:
             plain.add(t)  # frequent words need no second look, whatever stands beside them
         if got is not None:
             misread = True
             t = a + got + z
-        elif core[:1].isupper() and not core.isupper() and core.isalpha() and not lex.known(core.lower()) and lex.odd(core.lower()) >= 2:
+        elif core[:1].isupper() and not core.isupper() and core.isalpha() and not one and lex.odd(low) >= 2:
             # a name in letters that no word has, which the editor can read as something plausible
             if any(not lex.odd(r) for r in lex.editor.readings(core.lower())[:3] if r != core.lower()):
                 misread = True
