@@ -66,6 +66,9 @@ class Leader:
         self.total: list[int] = []
         self.df: list[dict[str, int]] = []
         self.index: dict[str, set[int]] = defaultdict(set)
+        self.sum: list[int] = []
+        #: of the last document: what its admission took from the cluster's affinity, and the features it met there
+        self.delta, self.width = 0.0, 0
 
     def candidates(self, doc: dict[str, int]) -> Iterable[tuple[int, float, int, int]]:
         """(cluster, score, weighted df, denominator) of clusters that reach the threshold, by id."""
@@ -91,19 +94,25 @@ class Leader:
             self.n.append(0)
             self.total.append(0)
             self.df.append({})
+            self.sum.append(0)
         c = hit[0]
+        width = len(self.df[c])
+        before = self.sum[c] / (self.n[c] * width) if width else 1.0
         self.n[c] += 1
+        self.sum[c] += len(doc)
         for f, w in doc.items():
             if f not in self.df[c]:
                 self.df[c][f] = 0
                 self.total[c] += w
                 self.index[f].add(c)
             self.df[c][f] += 1
+        self.delta = before - self.sum[c] / (self.n[c] * len(self.df[c])) if width else 0.0
+        self.width = width or len(self.df[c])
         return hit
 
 
 def leader_blocks(features: DataFrame, num: int = 83, den: int = 100, best: bool = False, block: int = BLOCK) -> DataFrame:
-    """(id, block, local, distance): leader clustering within blocks of about `block` documents, in the order of ids.
+    """(id, block, local, distance, delta, cluster_features): leader clustering within blocks of about `block` documents, in the order of ids.
 
     features: (id, feature, weight). Documents with at most NOISE features get local -1 and distance 0. Blocks are
     hash parts, so no task holds more than a block whatever the data; alike clusters of different blocks are left to
@@ -116,12 +125,12 @@ def leader_blocks(features: DataFrame, num: int = 83, den: int = 100, best: bool
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lead = Leader(num, den, best)
         pdf = pdf.sort_values("id")
-        got = [lead.add({x["feature"]: int(x["weight"]) for x in fs}) for fs in pdf["fs"]]
-        return pd.DataFrame({"id": pdf["id"], "block": pdf["block"], "local": [g[0] for g in got], "distance": [g[1] for g in got]})
+        got = [(*lead.add({x["feature"]: int(x["weight"]) for x in fs}), lead.delta, lead.width) for fs in pdf["fs"]]
+        return pd.DataFrame({"id": pdf["id"], "block": pdf["block"], **{c: [g[k] for g in got] for k, c in enumerate(("local", "distance", "delta", "cluster_features"))}})
 
     key = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("block")
-    big = docs.where(F.col("k") > NOISE).select("id", "fs", key).groupBy("block").applyInPandas(run, "id long, block int, local int, distance double")
-    noise = docs.where(F.col("k") <= NOISE).select("id", F.lit(-1).alias("block"), F.lit(-1).alias("local"), F.lit(0.0).alias("distance"))
+    big = docs.where(F.col("k") > NOISE).select("id", "fs", key).groupBy("block").applyInPandas(run, "id long, block int, local int, distance double, delta double, cluster_features int")
+    noise = docs.where(F.col("k") <= NOISE).select("id", F.lit(-1).alias("block"), F.lit(-1).alias("local"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("delta"), F.lit(0).alias("cluster_features"))
     return big.unionByName(noise)
 
 
@@ -165,16 +174,17 @@ def leader_scopes(docs: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def leader_clusters(features: DataFrame, num: int = 83, den: int = 100, best: bool = False, block: int | None = None) -> DataFrame:
-    """(id, cluster_id, distance): leader clustering of all documents in the order of ids, noise in cluster 0.
+    """(id, cluster_id, distance, delta, cluster_features): leader clustering of all documents in the order of ids, noise in cluster 0.
 
-    cluster_id is the smallest id of the cluster's documents. The clusters are those of one sequential pass, whatever
+    delta is what the document's admission took from the affinity of its cluster, cluster_features the number of features
+    it met there (its own for founders; both 0 for noise). cluster_id is the smallest id of the cluster's documents. The clusters are those of one sequential pass, whatever
     the number of documents: the pass runs scope by scope (leader_scopes), each a sorted stream of which a task holds
     only the clusters. With block, documents are clustered in hash parts instead, for merge_clusters to unite.
     """
     if block is not None:
         b = cut(leader_blocks(features, num, den, best, block), "leader")
         first = b.where("local >= 0").groupBy("block", "local").agg(F.min("id").alias("cluster_id"))
-        return b.join(first, ["block", "local"], "left").select("id", F.coalesce("cluster_id", F.lit(0)).cast("long").alias("cluster_id"), "distance")
+        return b.join(first, ["block", "local"], "left").select("id", F.coalesce("cluster_id", F.lit(0)).cast("long").alias("cluster_id"), "distance", "delta", "cluster_features")
     docs = _documents(features)
     scoped = cut(leader_scopes(docs.where(F.col("k") > NOISE), num, den), "scoped")
 
@@ -188,15 +198,15 @@ def leader_clusters(features: DataFrame, num: int = 83, den: int = 100, best: bo
                 c, distance = lead.add({x["feature"]: int(x["weight"]) for x in fs})
                 if c == len(first):
                     first.append(i)
-                out.append((i, first[c], distance))
-            yield pd.DataFrame(out, columns=["id", "cluster_id", "distance"])
+                out.append((i, first[c], distance, lead.delta, lead.width))
+            yield pd.DataFrame(out, columns=["id", "cluster_id", "distance", "delta", "cluster_features"])
 
     many = scoped.where("scope is not null").repartition("scope").sortWithinPartitions("scope", "id").select("id", "scope", "fs")
-    many = many.mapInPandas(run, "id long, cluster_id long, distance double")
+    many = many.mapInPandas(run, "id long, cluster_id long, distance double, delta double, cluster_features int")
     # documents that are like none but their exact copies
     alone = scoped.where("scope is null")
-    alone = alone.join(alone.groupBy("fs").agg(F.min("id").alias("cluster_id")), "fs").select("id", "cluster_id", F.lit(1.0).alias("distance"))
-    noise = docs.where(F.col("k") <= NOISE).select("id", F.lit(0).cast("long").alias("cluster_id"), F.lit(0.0).alias("distance"))
+    alone = alone.join(alone.groupBy("fs").agg(F.min("id").alias("cluster_id")), "fs").select("id", "cluster_id", F.lit(1.0).alias("distance"), F.lit(0.0).alias("delta"), F.size("fs").alias("cluster_features"))
+    noise = docs.where(F.col("k") <= NOISE).select("id", F.lit(0).cast("long").alias("cluster_id"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("delta"), F.lit(0).alias("cluster_features"))
     return many.unionByName(alone).unionByName(noise)
 
 

@@ -78,3 +78,40 @@ def labelled_evaluation(assigned: DataFrame, truth: DataFrame, by_subcluster: bo
     """
     key = (lambda c: F.col(c) * 1000 + F.coalesce("subcluster", F.lit(0))) if by_subcluster else F.col
     return mean_pair_index(assigned.select("id", key("cluster_id").alias("cluster")), truth.select("id", key("cluster").alias("cluster")))
+
+
+def high_confidence_detail(affinities: DataFrame, assigned: DataFrame, docs: DataFrame, num: int = 83, den: int = 100) -> DataFrame:
+    """The documents of the high-confidence clusters with the figures of their cluster and their metadata.
+
+    affinities: (cluster_id, n, features, affinity); assigned: (id, cluster_id); docs: one row for each doc_id.
+    """
+    top = high_confidence(affinities, num, den).select("cluster_id", F.col("n").alias("number_documents"), F.col("features").alias("total_features_cluster"), "affinity")
+    inside = hot_join(assigned.select("id", "cluster_id"), top, "cluster_id")
+    return inside.withColumnRenamed("id", "doc_id").join(docs, "doc_id", "left")
+
+
+def prune_report(parts: DataFrame) -> DataFrame:
+    """One row: clusters of more than four documents, their features, those that pruning takes away, and their share."""
+    big = parts.where("n > 4")
+    m = big.agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("features"), F.count(F.when(F.col("df") <= 2, 1)).alias("cleaned"))
+    return m.withColumn("ratio", F.when(F.col("features") > 0, F.col("cleaned") / F.col("features")).otherwise(0.0))
+
+
+def working_data(docs: DataFrame) -> DataFrame:
+    """One row: different documents and different companies among them; null ids and companies don't count."""
+    return docs.agg(F.count_distinct("doc_id").alias("documents"), F.count_distinct("company_id").alias("companies"))
+
+
+def document_records(assigned: DataFrame, sizes: DataFrame, docs: DataFrame, companies: DataFrame, languages: DataFrame) -> DataFrame:
+    """The report row of every document: cluster, how it came in, feature numbers and metadata, marked as used in training.
+
+    assigned: (id, cluster_id, distance, delta, cluster_features) of leader_clusters; sizes: (id, total_features); docs and
+    companies: one row for each key; languages: (file_name, language). What isn't known is null.
+    """
+    d = assigned.withColumnRenamed("id", "doc_id").join(sizes.withColumnRenamed("id", "doc_id"), "doc_id", "left").join(docs, "doc_id", "left")
+    d = hot_join(d, companies.select("company_id", "company_name", "company_industry"), "company_id", "left")
+    d = d.join(languages, "file_name", "left")
+    return d.select(
+        "doc_id", "cluster_id", F.col("distance").alias("admission_distance"), F.col("delta").alias("affinity_ratio_delta"), "total_features", F.col("cluster_features").alias("total_features_cluster"),
+        "company_id", "company_name", "company_industry", "language", F.col("document_year").alias("year"), "document_link", "document_type", "file_name", F.lit(True).alias("train"),
+    )

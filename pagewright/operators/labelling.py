@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from .skew import hot_join
 
-#: Documents of a cluster one task covers.
-BLOCK = 20_000
-
 
 def headings(features: DataFrame, assigned: DataFrame, min_docs: int = 2) -> DataFrame:
     """(cluster_id, id, feature): titles and subtitles that at least two documents of the cluster hold.
@@ -46,8 +43,8 @@ def candidates(features: DataFrame, assigned: DataFrame, ratio: float = 0.1, min
     """(cluster_id, id, pick, new_features, left_features): up to `most` documents of each cluster that cover its headings.
 
     Picks the document with most uncovered headings until the share left is at most `ratio`. Only documents that no
-    other holds more than matter, so in clusters above BLOCK documents each distinct set of headings travels once,
-    under its smallest id; the picks are the same.
+    other holds more than matter, so each distinct set of headings of a cluster travels once, under its smallest id; the
+    picks are the same.
     """
     h = headings(features, assigned, min_docs)
     sets = h.groupBy("cluster_id", "id").agg(F.array_sort(F.collect_set("feature")).alias("fs"))
@@ -68,7 +65,11 @@ def sweep(features: DataFrame, assigned: DataFrame, ratios: tuple[float, ...] =
 
 
 def coverage(features: DataFrame, assigned: DataFrame, picked: DataFrame, min_docs: int = 2) -> DataFrame:
-    """One row: selected and all documents, covered and all headings, and their ratios (null without any)."""
+    """One row: selected and all documents, covered and all headings, and their ratios (null without any).
+
+    ratio_features_all also counts the headings of low confidence; no threshold parts them from the others, so they are
+    the same ones once more.
+    """
     h = headings(features, assigned, min_docs)
     scope = h.select("cluster_id").distinct()
     docs = assigned.join(scope, "cluster_id", "left_semi").agg(F.count_distinct("id").alias("documents"))
@@ -77,6 +78,7 @@ def coverage(features: DataFrame, assigned: DataFrame, picked: DataFrame, min_do
     return got.select(
         "selected", docs.scalar().alias("documents"), "covered", feats.scalar().alias("headings"),
         (F.col("selected") / F.nullif(docs.scalar(), F.lit(0))).alias("ratio_docs"), (F.col("covered") / F.nullif(feats.scalar(), F.lit(0))).alias("ratio_features"),
+        (F.col("covered") / F.nullif(2 * feats.scalar(), F.lit(0))).alias("ratio_features_all"),
     )
 
 
@@ -91,6 +93,25 @@ def representation(features: DataFrame, assigned: DataFrame, picked: DataFrame)
     return g.select("*", F.when(F.col("headings") > 0, F.col("labelled") / F.col("headings")).alias("share"))
 
 
+def mean_representation(features: DataFrame, assigned: DataFrame, picked: DataFrame) -> DataFrame:
+    """One row: the mean share of a document's headings that the picked ones cover, over the documents of clusters of two
+    or more (mean_dataset) and over those of clusters with a pick (mean_scope); documents without headings count as 0."""
+    scope = picked.select("cluster_id").distinct()
+    total = representation(features, assigned, picked).join(scope, "cluster_id", "left_semi").agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("s"))
+    a = assigned.where("cluster_id > 0").select("id", "cluster_id").distinct()
+    many = a.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n >= 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    inside = a.join(scope, "cluster_id", "left_semi").agg(F.count("*").alias("n"))
+    share = lambda n: F.col("s") / F.nullif(n.scalar(), F.lit(0))
+    return total.select(share(many).alias("mean_dataset"), share(inside).alias("mean_scope"))
+
+
+def label_report(features: DataFrame, assigned: DataFrame, picked: DataFrame, docs: DataFrame, min_docs: int = 2) -> DataFrame:
+    """The picked documents with their metadata, the order of their choice and the number of headings of their cluster."""
+    n = headings(features, assigned, min_docs).select("cluster_id", "feature").distinct().groupBy("cluster_id").agg(F.count("*").alias("low_confident_features"))
+    rows = picked.select(F.col("id").alias("doc_id"), "cluster_id", "pick").join(n, "cluster_id", "left")
+    return rows.join(docs, "doc_id", "left")
+
+
 def cluster_ratio(assigned: DataFrame, picked: DataFrame) -> DataFrame:
     """Mean share of picked documents over the clusters with a pick."""
     n = assigned.groupBy("cluster_id").agg(F.count("*").alias("n"))

@@ -200,6 +200,9 @@ select distinct {out(chr(39) + 'text_' + chr(39) + f" || case when contains(t, '
     o["feature_title"] = f"""with {NUMBERED}, few as (select file_name from sub where ok group by 1 having count(distinct s) >= 3),
 ti as materialized (select file_name, text, {strip_numbers(strip_dates('low'))} t from low where x < page_width / 3 and w < page_width / 3 and file_name not in (select file_name from few))
 select distinct {out(chr(39) + 'title_' + chr(39) + " || split_part(t, ':', 1)")} from ti where length(t) > 4 and regexp_matches(lower(t), '[a-z''\\-]+') and right(t, 1) <> '.' and left(text, 1) = upper(left(text, 1))"""
+    kinds = {"page": "cluster", "position": "subcluster", "size": "subcluster", "enumerator": "cluster", "subtitle": "cluster", "text": "subcluster", "title": "cluster"}
+    every = " union all ".join(f"select file_name, '{k}' \"type\", '{v}' \"level\" from ({o['feature_' + k]})" for k, v in kinds.items())
+    o["extract_features"] = f"select file_name, \"type\", \"level\", count(*) n from ({every}) group by 1, 2, 3"
     o["clean_features"] = f"select id, feature, type, level, frequency, weight::int weight from {CLEAN}"
 
     pairs = f"top as materialized (select * from {TOP}), tot as (select id, sum(weight) w from top group by 1), sh as (select x.id a, y.id b, sum(x.weight) s from top x join top y on x.feature = y.feature and x.id < y.id group by 1, 2), pr as materialized (select a, b, 2 * s / (p.w + q.w) score from sh join tot p on p.id = a join tot q on q.id = b where 200 * s >= 83 * (p.w + q.w))"
@@ -226,6 +229,11 @@ select a, b, round(score, 6) score from (select a, b, 2 * s / (p.w + q.w) score,
 select *, round(documents / nullif(clusters, 0), 6) per_cluster, round(documents / nullif(subclusters, 0), 6) per_subcluster from g"""
     o["pair_index"] = f"""with p as (select id, cluster_id p from {ASSIGNED}), t as (select doc_id id, company_id t from {DOC_BY_ID} where company_id is not null), b as materialized (select id, p, t from p full join t using (id)), np as (select p, count(*) n_p from b where p is not null group by 1), nt as (select t, count(*) n_t from b where t is not null group by 1), c as (select p, t, count(*) k from b where p is not null and t is not null group by 1, 2)
 select id, round(coalesce(k / (n_p + n_t - k), 0.0), 6) "value" from b left join c using (p, t) left join np using (p) left join nt using (t)"""
+    o["labelled_evaluation"] = f"select round(avg(\"value\"), 6) pair_index from ({o['pair_index'].replace('round(coalesce(k / (n_p + n_t - k), 0.0), 6)', 'coalesce(k / (n_p + n_t - k), 0.0)')})"
+    o["high_confidence_detail"] = f"""with {BASE}, a as (select cluster_id, max(n) n, count(*) k, sum(df) / (max(n) * count(*)) affinity from parts group by 1)
+select doc_id, cluster_id, a.n number_documents, k total_features_cluster, round(affinity, 6) affinity, file_name, company_id, document_year, document_type, document_link from a join asg using (cluster_id) left join {DOC_BY_ID} d on d.doc_id = asg.id where affinity >= 0.83 and a.n > 1 and cluster_id > 0"""
+    o["prune_report"] = f"with {BASE} select count(distinct cluster_id) clusters, count(*) features, count(*) filter (df <= 2) cleaned, round(count(*) filter (df <= 2) / count(*), 6) ratio from parts where n > 4"
+    o["working_data"] = "select count(distinct doc_id) documents, count(distinct company_id) companies from docs where contains(document_type, 'eCDF')"
     o["run_metrics"] = f"""with n as (select cluster_id c, count(*) n from {ASSIGNED} group by 1) select coalesce(sum(n), 0)::bigint documents, coalesce(sum(n) filter (c = 0), 0)::bigint noise, count(*) filter (c > 0) clusters, count(*) filter (c > 0 and n > 1) clusters_many, coalesce(sum(n) filter (c > 0 and n > 1), 0)::bigint documents_many, count(*) filter (c > 0 and n = 1) singles, round(coalesce(sum(n) filter (c > 0 and n > 1), 0) / sum(n), 6) share from n"""
     o["cluster_size_report"] = f"with a as materialized (select * from {ASSIGNED}) select cluster_id, count(*) n, floor(100 * count(*) / (select count(*) from a))::int percent from a where cluster_id > 0 group by 1 having count(*) > 1"
     o["member_report"] = f"select doc_id, cluster_id, file_name, company_id, document_type from {ASSIGNED} a join {DOC_BY_ID} d on d.doc_id = a.id where cluster_id > 0"

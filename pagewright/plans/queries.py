@@ -369,6 +369,36 @@ def queries() -> dict[str, Query]:
         true = ingest.last_version(table(spark, d, "docs"), "doc_id", "received_at").where("company_id is not null").select(F.col("doc_id").alias("id"), F.col("company_id").alias("cluster"))
         return evaluate.pair_index(pred, true).select("id", F.round("index", 6).alias("value"))
 
+    def _docs(spark: SparkSession, d: str) -> DataFrame:
+        return ingest.last_version(table(spark, d, "docs"), "doc_id", "received_at")
+
+    @add
+    def high_confidence_detail(spark, d):
+        x = evaluate.high_confidence_detail(cluster.affinity(_parts(spark, d)), _assigned(spark, d), _docs(spark, d))
+        return x.select("doc_id", "cluster_id", "number_documents", "total_features_cluster", F.round("affinity", 6).alias("affinity"), "file_name", "company_id", "document_year", "document_type", "document_link")
+
+    @add
+    def prune_report(spark, d):
+        return evaluate.prune_report(_parts(spark, d)).withColumn("ratio", F.round("ratio", 6))
+
+    @add
+    def working_data(spark, d):
+        return evaluate.working_data(ingest.filter_type(table(spark, d, "docs"), "eCDF"))
+
+    @add
+    def labelled_evaluation(spark, d):
+        true = _docs(spark, d).where("company_id is not null").select(F.col("doc_id").alias("id"), F.hash("company_id").cast("long").alias("cluster"), F.col("document_year").alias("subcluster"))
+        a = _assigned(spark, d).withColumn("subcluster", F.lit(0))
+        return evaluate.labelled_evaluation(a, true).select(F.round("pair_index", 6).alias("pair_index"))
+
+    @add
+    def document_records(spark, d):
+        f = cut(_features(spark, d), "features")
+        lead = cluster.leader_clusters(f.where("level = 'cluster'").select("id", "feature", "weight"))
+        c = table(spark, d, "companies").where("company_id is not null").groupBy("company_id").agg(F.max(F.struct("company_name", "company_industry")).alias("c")).select("company_id", "c.*")
+        first = ingest.one_page(table(spark, d, "page_info")).where("page_number = 1").select("file_name", "language")
+        return evaluate.document_records(lead, f.groupBy("id").agg(F.count("*").alias("total_features")), _docs(spark, d), c, first)
+
     @add
     def run_metrics(spark, d):
         m = evaluate.run_metrics(_assigned(spark, d))
@@ -407,6 +437,15 @@ def queries() -> dict[str, Query]:
     def doc_representation(spark, d):
         return labelling.representation(*_picked(spark, d))
 
+    @add
+    def mean_representation(spark, d):
+        return labelling.mean_representation(*_picked(spark, d))
+
+    @add
+    def label_report(spark, d):
+        docs = ingest.last_version(table(spark, d, "docs"), "doc_id", "received_at").select("doc_id", "file_name", "company_id", "document_type")
+        return labelling.label_report(*_picked(spark, d), docs)
+
     @add
     def cluster_pick_ratio(spark, d):
         _, a, p = _picked(spark, d)
