@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_join
+from ..session import cut
+
+#: Words up to which a vocabulary is broadcast.
+BROADCAST_ROWS = 200_000
 LANGS = ("fra", "eng", "deu")  # fixed order: the first wins ties
 # Small word lists; pass larger ones as a table (lang, token).
 STOP_WORDS = {
@@ -24,13 +29,17 @@ def vocab_table(spark, words: dict[str, list[str]] = STOP_WORDS) -> DataFrame:
 
 
 def page_language(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(id, language, confidence) for tokens (id, token); vocab is small and goes to every task.
+    """(id, language, confidence) for tokens (id, token).
+
+    The exclusive words go to every task if they are counted to be at most BROADCAST_ROWS, else they meet the tokens in a
+    join that takes frequent tokens apart.
 
     Each language is scored by its share of the tokens; confidence is the best share of all shares, cut to two
     decimals. Nothing found: the first language with 0.
     """
-    v = F.broadcast(exclusive_words(vocab))
-    hit = tokens.join(v, "token", "left").groupBy("id").agg(*[F.count(F.when(F.col("lang") == x, 1)).alias(x) for x in LANGS])
+    v = cut(exclusive_words(vocab), "exclusive")
+    met = tokens.join(F.broadcast(v), "token", "left") if v.count() <= BROADCAST_ROWS else hot_join(tokens, v, "token", "left")
+    hit = met.groupBy("id").agg(*[F.count(F.when(F.col("lang") == x, 1)).alias(x) for x in LANGS])
     best, total = F.greatest(*LANGS), sum((F.col(x) for x in LANGS), F.lit(0))
     lang = F.coalesce(*[F.when(F.col(x) == best, F.lit(x)) for x in LANGS])
     return hit.select("id", F.when(total > 0, lang).otherwise(LANGS[0]).alias("language"), F.when(total > 0, F.floor(best * 100 / total) / 100).otherwise(0.0).alias("confidence"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.norm import strip
+from ..session import cut
 
 # Sentences that mark a page as a financial statement.
 STATEMENT_SENTENCES = [
@@ -78,10 +79,19 @@ def last_document(docs: DataFrame) -> DataFrame:
 
 
 def dataset_prefix(docs: DataFrame, share: float, key: str = "doc_id") -> DataFrame:
-    """The first int(n * share) documents in the order of the key, with all their rows."""
-    keys = docs.select(key).where(F.col(key).isNotNull()).distinct()
+    """The first int(n * share) documents in the order of the key, with all their rows.
+
+    Keys are sorted in ranges and numbered by their place in the range and the sizes of those before it, so no task holds
+    more than a range.
+    """
+    keys = docs.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
+    # written, so that the numbers stay as they are
+    keys = cut(keys.select(key, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "sorted")
+    part = keys.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row for each range
     k = int(keys.count() * min(1.0, share))
-    return docs.join(keys.orderBy(key).limit(k), key, "left_semi")
+    first = keys.join(F.broadcast(part.withColumn("_before", before)), "_part").where(F.col("_at") - F.col("_first") + F.col("_before") < k)
+    return docs.join(first.select(key), key, "left_semi")
 
 
 def with_company(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

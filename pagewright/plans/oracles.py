@@ -6,7 +6,7 @@ from ..functions import text
 from ..functions.language import LANGS, STOP_WORDS
 from ..operators.features import WEIGHTS
 from ..operators.ingest import STATEMENT_SENTENCES
-from .queries import SAMPLES
+from .queries import PAGES, SAMPLES
 
 
 def lit(s: str) -> str:
@@ -86,9 +86,9 @@ ru as materialized (select *, {strip("replace(low, enum, '')")} rest from en whe
 nu as materialized (select * from ru where regexp_matches(lower(rest), '[a-z''\\-]+')),
 st as materialized (select *, {strip_numbers(strip_dates('rest'))} s from nu),
 sub as materialized (select *, length({strip('s')}) > 5 and right(s, 1) <> '.' and left(text, 1) = upper(left(text, 1)) ok from st)"""
-HTML = """h as materialized (select doc_id, case doc_id % 7 when 4 then '<div>' else '<p>' end || regexp_replace(substring(text, 1, (case doc_id % 7 when 0 then 0 when 1 then length(text) // 3 when 2 then (length(text) * 55) // 100 when 3 then (length(text) * 7) // 10 else length(text) end)::int), '[<>&]', ' ', 'g') || '</p>'
- || case when doc_id % 7 = 5 then '<p>&#xfffd;&#xfffd;&#xfffd;</p>' else '' end || case when doc_id % 3 = 0 then '<img src="a.png"><img alt="x">' else '' end html,
- case when doc_id % 7 = 6 then []::varchar[] else list_filter(regexp_split_to_array(text, '[ \\n\\r\\t]'), lambda x: trim(x) <> '') end words from documents where text is not null)"""
+HTML = """h as materialized (select doc_id, '<p>' || regexp_replace(text, '[<>&]', ' ', 'g') || '</p>' || case when contains(text, '2015') then '<img src="a.png"><img alt="x">' else '' end html,
+ list_filter(regexp_split_to_array(text, '[ \\n\\r\\t]'), lambda x: trim(x) <> '') words from documents where text is not null
+ union all select -i, page, list_filter(string_split(repeat('w ', n), ' '), lambda x: x <> '') from (values """ + ", ".join(f"({i}::bigint, {n}, {lit(h)})" for i, (n, h) in enumerate(PAGES, 1)) + """) v(i, n, page))"""
 
 
 def plain(html: str) -> str:
@@ -208,7 +208,7 @@ select distinct {out(chr(39) + 'title_' + chr(39) + " || split_part(t, ':', 1)")
     pairs = f"top as materialized (select * from {TOP}), tot as (select id, sum(weight) w from top group by 1), sh as (select x.id a, y.id b, sum(x.weight) s from top x join top y on x.feature = y.feature and x.id < y.id group by 1, 2), pr as materialized (select a, b, 2 * s / (p.w + q.w) score from sh join tot p on p.id = a join tot q on q.id = b where 200 * s >= 83 * (p.w + q.w))"
     o["similarity_pairs"] = f"with {pairs} select a, b, round(score, 6) score from pr"
     o["document_groups"] = f"with recursive {pairs}, bo as (select a, b from pr union select b, a from pr), r(v, w) as (select a, a from bo union select r.v, bo.b from r join bo on bo.a = r.w), c as (select v, min(w) label from r group by 1) select v id, label, count(*) over (partition by label) size from c"
-    o["soft_value_similarity"] = f"with f as materialized (select id, feature, value from {CLEAN} where type = 'position' and value is not null) select x.id a, count(distinct y.id) others, count(*) matches from f x join f y on x.id <> y.id and abs(x.value - y.value) <= 5 and contains(y.feature, split_part(x.feature, '_', 1)) group by 1"
+    o["soft_value_similarity"] = f"with f as materialized (select id, feature, value from {CLEAN} where type in ('position', 'size') and value is not null) select x.id a, count(distinct y.id) others, count(*) matches from f x join f y on x.id <> y.id and abs(x.value - y.value) <= 5 and contains(y.feature, split_part(x.feature, '_', 1)) group by 1"
     o["size_ratio_filter"] = "with n as (select cluster_id, max(len(list_distinct(features)) + (list_contains(list_transform(features, lambda x: x is null), true))::int) n from clusters group by 1) select a, b, x.n na, y.n nb from (select distinct cluster_a a, cluster_b b from cluster_pairs) p join n x on x.cluster_id = a join n y on y.cluster_id = b where least(x.n, y.n) * 10 >= greatest(x.n, y.n) * 8"
     o["assign_first_match"] = f"with {SCORES} select id, cluster_id, round(score, 6) score from (select *, row_number() over (partition by id order by cluster_id) r from sc) where r = 1"
     o["assign_best_match"] = f"with {SCORES} select id, cluster_id, round(score, 6) score from (select *, row_number() over (partition by id order by score desc, cluster_id desc) r from sc) where r = 1"

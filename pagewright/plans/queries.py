@@ -25,6 +25,11 @@ SAMPLES = [
     "12 %", "-", "x", "a- suite", "f.2-", "III. Reserves", "IV. Rückstellungen", "au 31 decembre 2015 consolide", "note au 31/12/2015 et 01/02/14 fin", "total actif 123 net", "solde 1.234,56 euros fin",
     "capital 12 000 eur", "de 3,5 5 euros", "œuvre déjà où", "total: 5", "a:b:c", "d'être là – oui", "_ligne*", "✓ fait", "1 2 3 4 5 6 7 8 9 10 11 12", "",
 ]
+#: Pages that show what whole texts don't: (words read, html) with less or more text, lost characters, none at all.
+PAGES = [
+    (0, "<p></p>"), (0, "<p>a b c</p>"), (10, "<p>a b c d</p>"), (10, "<p>a b c d e</p>"), (10, "<p>a b c d e f g</p>"), (10, "<p>a b c d e f g h i</p>"), (10, "<p>a b c d e f g h i j k l m</p>"),
+    (10, "<p>a b &#xfffd;&#xfffd;&#xfffd; c d</p>"), (10, '<div>a b c d e f g h i j<img src="a.png"></div>'), (3, '<p>a b c</p><img src="a.png"><img src="b.png">'),
+]
 KEYS = ["file_name", "page_number", "line_number"]
 DONE = "SC"
 
@@ -58,16 +63,14 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _html(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as pages: a text layer that holds more or less of the words read, images and lost characters now and then."""
-    t = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    k = F.col("doc_id") % 7
-    part = F.expr("case doc_id % 7 when 0 then 0 when 1 then length(text) div 3 when 2 then (length(text) * 55) div 100 when 3 then (length(text) * 7) div 10 else length(text) end")
-    body = F.regexp_replace(F.expr("substring(text, 1, p)"), r"[<>&]", " ")
-    lost = F.when(k == 5, F.lit("<p>&#xfffd;&#xfffd;&#xfffd;</p>")).otherwise(F.lit(""))
-    image = F.when(F.col("doc_id") % 3 == 0, F.lit('<img src="a.png"><img alt="x">')).otherwise(F.lit(""))
-    words = F.when(k == 6, F.expr("cast(array() as array<string>)")).otherwise(F.filter(F.split("text", r"[ \n\r\t]"), lambda x: F.trim(x) != ""))
-    html = F.concat(F.when(k == 4, F.lit("<div>")).otherwise(F.lit("<p>")), body, F.lit("</p>"), lost, image)
-    return t.withColumn("p", part).select("doc_id", html.alias("html"), words.alias("words"))
+    """Documents as pages that hold their whole text, with images where the year 2015 is named, and PAGES."""
+    t = table(spark, d, "documents").where("text is not null")
+    image = F.when(F.col("text").contains("2015"), F.lit('<img src="a.png"><img alt="x">')).otherwise(F.lit(""))
+    html = F.concat(F.lit("<p>"), F.regexp_replace("text", r"[<>&]", " "), F.lit("</p>"), image)
+    words = F.filter(F.split("text", r"[ \n\r\t]"), lambda x: F.trim(x) != "")
+    own = spark.createDataFrame([(-i, h, "w " * n) for i, (n, h) in enumerate(PAGES, 1)], "doc_id long, html string, w string")
+    own = own.select("doc_id", "html", F.filter(F.split("w", " "), lambda x: x != "").alias("words"))
+    return t.select("doc_id", html.alias("html"), words.alias("words")).unionByName(own)
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -268,7 +271,7 @@ def queries() -> dict[str, Query]:
 
     @add
     def soft_value_similarity(spark, d):
-        f = _features(spark, d).where("type = 'position'").select("id", "feature", "value")
+        f = _features(spark, d).where("type in ('position', 'size')").select("id", "feature", "value")
         return similarity.soft_matches(f, f).where("a <> b").groupBy("a").agg(F.count_distinct("b").alias("others"), F.count("*").alias("matches"))
 
     @add
