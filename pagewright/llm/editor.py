@@ -92,6 +92,9 @@ def features(s: str, i: int) -> list[str]:
     ]
 
 
+#: So many of them hold the character itself; operations learned with them are always among those offered for it.
+WITH_CHARACTER = 12
+
 _cost = itemgetter(0)
 
 
@@ -123,7 +126,13 @@ class Editor:
         ops = self.offers.get(s[i], (s[i],))
         total = dict.fromkeys(ops, 0.0)
         get = self.weights.get
-        for f in features(s, i):
+        feats = features(s, i)
+        for f in feats[:WITH_CHARACTER]:
+            w = get(f)
+            if w:
+                for op, v in w.items():
+                    total[op] += v
+        for f in feats[WITH_CHARACTER:]:
             w = get(f)
             if w:
                 for op, v in w.items():
@@ -233,20 +242,33 @@ def train(words: Sequence[str], seed: int = 7) -> Editor:
     plain = {c: tuple(sorted(x)) for c, x in offers.items()}
     # features as numbers, worked out once for each place that has a choice
     number_of: dict[str, int] = {}
-    places = [
-        ([number_of.setdefault(f, len(number_of)) for f in features(s, i)], plain[s[i]], gold)
-        for s, ops in data for i, gold in enumerate(ops) if len(plain[s[i]]) > 1
-    ]
-    weights: list[dict[str, float]] = [{} for _ in number_of]
-    sums: list[dict[str, float]] = [{} for _ in number_of]
+    weights: list[dict[str, float]] = []
+
+    def seen(f: str) -> int:
+        n = number_of.setdefault(f, len(weights))
+        if n == len(weights):
+            weights.append({})
+        return n
+
+    places = []
+    for s, ops in data:
+        for i, gold in enumerate(ops):
+            if len(plain[s[i]]) > 1:
+                feats = [seen(f) for f in features(s, i)]
+                own = [weights[f] for f in feats]
+                places.append((feats, own[:WITH_CHARACTER], own[WITH_CHARACTER:], plain[s[i]], gold))
+    sums: list[dict[str, float]] = [{} for _ in weights]
     step = 0
     for _ in range(EPOCHS):
         rng.shuffle(places)
-        for feats, offered, gold in places:
+        for feats, own, others, offered, gold in places:
             step += 1
             total = dict.fromkeys(offered, 0.0)
-            for f in feats:
-                for op, v in weights[f].items():
+            for w in own:
+                for op, v in w.items():
+                    total[op] += v
+            for w in others:
+                for op, v in w.items():
                     if op in total:
                         total[op] += v
             guess = max(offered, key=total.__getitem__)  # the first of ties, offered is sorted
