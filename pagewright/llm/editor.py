@@ -13,6 +13,8 @@ TRAIN_WORDS, CORRUPTIONS, EPOCHS = 4_000, 5, 2
 BEAM, OFFERED, SPREAD = 40, 8, 60.0
 #: Numbers and broken words among the training examples, passes over the broken words, and the lead that each should have.
 TRAIN_NUMBERS, TRAIN_BREAKS, BREAK_EPOCHS, MARGIN = 600, 6_000, 4, 6.0
+#: Smallest averaged weight that is kept.
+LEAST_WEIGHT = 0.3
 #: Signs that end a line inside a word.
 HYPHENS = "-¬‐‑­–"
 
@@ -154,7 +156,7 @@ class Editor:
             if step is None:
                 best = self.scored(s, i)[:OFFERED]
                 step = [(v, op) for v, op in best if v >= best[0][0] - SPREAD]
-                if len(self.steps) > 300_000:
+                if len(self.steps) > 60_000:
                     self.steps.clear()
                 self.steps[window] = step
             if len(step) == 1:
@@ -279,7 +281,12 @@ def train(words: Sequence[str], seed: int = 7) -> Editor:
                     w[guess] = w.get(guess, 0.0) - 1
                     t[gold] = t.get(gold, 0.0) + step
                     t[guess] = t.get(guess, 0.0) - step
-    mean = {f: {op: v - sums[n][op] / max(step, 1) for op, v in weights[n].items() if v or sums[n][op]} for f, n in number_of.items() if weights[n]}
+    mean = {}
+    for f, n in number_of.items():
+        # weights far below what decides anything are left out: they are most of the model's size
+        w = {op: m for op, v in weights[n].items() if abs(m := v - sums[n][op] / max(step, 1)) >= LEAST_WEIGHT}
+        if w:
+            mean[f] = w
     return Editor(mean, plain)
 
 
@@ -346,7 +353,7 @@ class Lexicon:
         """The known word that the editor reads in s (lower case, perhaps with a blank), if s isn't one itself."""
         if s in self.memory:
             return self.memory[s]
-        if len(self.memory) > 200_000:
+        if len(self.memory) > 50_000:
             self.memory.clear()
         out = None
         if not self.known(s):

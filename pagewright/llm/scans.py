@@ -212,7 +212,7 @@ def parts_of(token: str, lex: Lexicon) -> tuple[str, str, str, str, int]:
     """core_of the token, the word in lower case, and how often the documents have it."""
     got = lex.parts.get(token)
     if got is None:
-        if len(lex.parts) > 300_000:
+        if len(lex.parts) > 50_000:
             lex.parts.clear()
         a, core, z = core_of(token)
         low = core.lower()
@@ -232,7 +232,7 @@ def like(word: str, model: str) -> str:
 def mend_word(core: str, lex: Lexicon) -> str | None:
     """The repaired word or number, None if there is nothing to repair; the same text if it is surely misread but unclear."""
     if core not in lex.mended:
-        if len(lex.mended) > 200_000:
+        if len(lex.mended) > 50_000:
             lex.mended.clear()
         lex.mended[core] = _mend(core, lex)
     return lex.mended[core]
@@ -345,7 +345,7 @@ def mend_line(text: str, head: str, tail: str, lex: Lexicon, own: tuple[bool, bo
                     i += 2
                     continue
         got = mend_word(core, lex)
-        if one * 5_000 > lex.top and core.isalpha() and len(plain) < 500_000:
+        if one * 5_000 > lex.top and core.isalpha() and len(plain) < 100_000:
             plain.add(t)  # frequent words need no second look, whatever stands beside them
         if got is not None:
             misread = True
