@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from operator import itemgetter
 
 #: Words, corruptions of each, and passes of the training; a word's rank by frequency decides whether it is among them.
-TRAIN_WORDS, CORRUPTIONS, EPOCHS = 4_000, 5, 2
+TRAIN_WORDS, CORRUPTIONS, EPOCHS = 4_000, 4, 2
 #: Alternatives kept while a word is decoded, operations offered for a character at most, and the lead over keeping a character that the model must not exceed to offer one.
 BEAM, OFFERED, SPREAD = 40, 8, 60.0
 #: Numbers and broken words among the training examples, passes over the broken words, and the lead that each should have.
