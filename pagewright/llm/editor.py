@@ -13,6 +13,8 @@ TRAIN_WORDS, CORRUPTIONS, EPOCHS = 4_000, 4, 2
 BEAM, OFFERED, SPREAD = 40, 8, 60.0
 #: Numbers and broken words among the training examples, passes over the broken words, and the lead that each should have.
 TRAIN_NUMBERS, TRAIN_BREAKS, BREAK_EPOCHS, MARGIN = 600, 6_000, 4, 6.0
+#: Corruptions of all words together that a small vocabulary is trained on.
+LEAST_EXAMPLES = 2_000
 #: Smallest averaged weight that is kept.
 LEAST_WEIGHT = 0.3
 #: Signs that end a line inside a word.
@@ -231,9 +233,10 @@ def train(words: Sequence[str], seed: int = 7) -> Editor:
     """Train on the words, each clean and in some corruptions, and on numbers; words come in order of frequency."""
     rng = random.Random(seed)
     data: list[tuple[str, list[str]]] = []
+    each = max(CORRUPTIONS, -(-LEAST_EXAMPLES // max(len(words), 1)))
     for w in words[:TRAIN_WORDS]:
         data.append((w, list(w)))
-        data += [corrupted(w, rng) for _ in range(CORRUPTIONS)]
+        data += [corrupted(w, rng) for _ in range(each)]
     for _ in range(TRAIN_NUMBERS if words else 0):
         n = number(rng)
         data += [(n, list(n)), misread_number(n, rng), misread_number(n, rng)]
