@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop
 from .graph import connected_components
-from .similarity import cluster_scores, contributions, pair_overlaps, totals
+from .similarity import cluster_scores, coded, contributions, pair_overlaps, totals
 from .skew import hot_join
 
 #: Features up to which a document is noise; documents of a block.
@@ -135,41 +135,58 @@ def leader_blocks(features: DataFrame, num: int = 83, den: int = 100, best: bool
 
 
 def _documents(features: DataFrame) -> DataFrame:
-    """(id, fs, k): the features of each document in one row, in one order for all."""
-    docs = features.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("feature", "weight"))).alias("fs"))
-    return cut(docs.withColumn("k", F.size("fs")), "docs")
+    """(id, fs, k): the features of each document as numbers in one row, in one order for all."""
+    f = coded(features.select("id", "feature", "weight"))
+    docs = f.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("feature", "weight"))).alias("fs"))
+    docs = cut(docs.withColumn("k", F.size("fs")), "docs")
+    drop(f)
+    return docs
 
 
 def leader_scopes(docs: DataFrame, num: int, den: int) -> DataFrame:
-    """(id, fs, scope): documents in the scopes within which leader clustering is independent; null alone.
+    """(id, fs, v, scope): documents in the scopes within which leader clustering is independent; null alone. v: the first of its copies.
 
     A document's similarity to a cluster is at most its mean similarity to the cluster's documents (contributions are
     their mean, and the cluster weighs no less than any of them), so it reaches the threshold only if it does with one
     of them: no cluster leaves a component of the graph of alike documents. Exact copies are one vertex. A feature may
-    weigh differently in different documents: its largest weight counts as shared, its smallest in totals.
+    weigh differently in different documents: its largest weight of all counts as shared, and in totals its smallest
+    weight in the document's component, as only a document of the same cluster can have brought it in. The first edges
+    take no feature as lighter than elsewhere; documents whose totals fall by their component are compared again with
+    all, until none do.
     """
-    vertices = cut(docs.groupBy("fs").agg(F.min("id").alias("v"), F.count("*").alias("copies")), "vertices")
-    flat = vertices.select("v", F.explode("fs").alias("x")).select(F.col("v").alias("id"), "x.feature", "x.weight")
-    span = flat.groupBy("feature").agg(F.min("weight").alias("low"), F.max("weight").alias("high"))
-    varies = span.where("low < high")
-    flat = flat.join(varies, "feature", "left").select("id", "feature", F.coalesce("high", "weight").alias("weight"), F.coalesce("low", "weight").alias("low"))
+    vertices = cut(docs.groupBy("fs").agg(F.min("id").alias("v")), "vertices")
+    flat = vertices.select(F.col("v").alias("id"), F.explode("fs").alias("x")).select("id", "x.feature", F.col("x.weight").alias("own"))
+    span = cut(flat.groupBy("feature").agg(F.min("own").alias("least"), F.max("own").alias("weight")).where("least < weight"), "span")
+    flat = flat.join(span, "feature", "left").select("id", "feature", "own", F.coalesce("weight", "own").alias("weight"), F.coalesce("least", "own").alias("least"))
     flat = cut(flat, "flat")
-    least = flat.groupBy("id").agg(F.sum("low").alias("least"), F.sum("weight").alias("most"))
-    least = cut(least, "least")
-    loose = least.where("least < most").select("id")
-    # the few records with such features are looked up among all at the lower threshold that this may ask for
-    share = least.agg(F.min(F.floor(F.col("least") * 1000 / F.col("most"))).alias("r")).first()["r"]
-    near = pair_overlaps(flat, num, den).select("a", "b", "shared")
-    if share is not None and share < 1000:
-        share = int(share)
-        tagged = lambda df, side: df.select((F.col("id") * 2 + int(side)).alias("id"), "feature", "weight", F.lit(side).alias("side"))
-        few = flat.join(loose, "id", "left_semi")
-        more = pair_overlaps(tagged(flat, False).unionByName(tagged(few, True)), num * share, den * 1000, across="side")
-        near = near.unionByName(more.select(F.shiftright("a", 1).alias("a"), F.shiftright("b", 1).alias("b"), "shared").where("a <> b"))
-    t = lambda c: least.select(F.col("id").alias(c), F.col("least").alias(f"least_{c}"))
-    near = near.join(t("a"), "a").join(t("b"), "b").where(2 * den * F.col("shared") >= num * (F.col("least_a") + F.col("least_b")))
+    near = pair_overlaps(flat, num, den)
     scope = connected_components(near).select("v", F.col("label").alias("scope"))
-    to = cut(vertices.join(scope, "v", "left").select("fs", "scope"), "scopes")
+    drop(near)
+    # rows of features that weigh differently; lighter: what their records' components have made of them so far
+    varied = cut(flat.where("least < weight").select("id", "feature", "own", "weight"), "varied")
+    lighter = varied.select("id", "feature", F.col("weight").alias("low")).limit(0)
+    while True:
+        at = varied.join(scope, varied["id"] == scope["v"], "left").withColumn("at", F.coalesce("scope", "id"))
+        low = at.groupBy("at", "feature").agg(F.min("own").alias("low"))
+        now = cut(at.join(low, ["at", "feature"]).where("low < weight").select("id", "feature", "low"), "lighter")
+        fell = now.join(lighter.withColumnRenamed("low", "was"), ["id", "feature"], "left").where("was is null or low < was")
+        fell = cut(fell.select("id").distinct(), "fell")
+        if fell.isEmpty():
+            break
+        asks = flat.join(now, ["id", "feature"], "left").join(fell.select("id", F.lit(True).alias("asks")), "id", "left")
+        asks = asks.select("id", "feature", "weight", "least", F.coalesce("low", "weight").alias("low"), F.coalesce("asks", F.lit(False)).alias("asks"))
+        more = pair_overlaps(asks, num, den, either="asks", low="low", least="least")
+        # the components so far are the vertices that the new edges join
+        end = lambda c: scope.select(F.col("v").alias(c), F.col("scope").alias(f"s{c}"))
+        ends = more.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("sa", "a").alias("a"), F.coalesce("sb", "b").alias("b"))
+        to = connected_components(ends).select(F.col("v").alias("scope"), F.col("label").alias("to"))
+        old = scope.join(to, "scope", "left").select("v", F.coalesce("to", "scope").alias("scope"))
+        new = to.join(scope.select(F.col("v").alias("scope")), "scope", "left_anti").select(F.col("scope").alias("v"), F.col("to").alias("scope"))
+        scope = cut(old.unionByName(new), "scope")
+        drop(more, fell)
+        lighter = now
+    to = cut(vertices.join(scope, "v", "left").select("fs", "v", "scope"), "scopes")
+    drop(vertices, flat)
     return docs.select("id", "fs").join(to, "fs")
 
 
@@ -204,8 +221,7 @@ def leader_clusters(features: DataFrame, num: int = 83, den: int = 100, best: bo
     many = scoped.where("scope is not null").repartition("scope").sortWithinPartitions("scope", "id").select("id", "scope", "fs")
     many = many.mapInPandas(run, "id long, cluster_id long, distance double, delta double, cluster_features int")
     # documents that are like none but their exact copies
-    alone = scoped.where("scope is null")
-    alone = alone.join(alone.groupBy("fs").agg(F.min("id").alias("cluster_id")), "fs").select("id", "cluster_id", F.lit(1.0).alias("distance"), F.lit(0.0).alias("delta"), F.size("fs").alias("cluster_features"))
+    alone = scoped.where("scope is null").select("id", F.col("v").alias("cluster_id"), F.lit(1.0).alias("distance"), F.lit(0.0).alias("delta"), F.size("fs").alias("cluster_features"))
     noise = docs.where(F.col("k") <= NOISE).select("id", F.lit(0).cast("long").alias("cluster_id"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("delta"), F.lit(0).alias("cluster_features"))
     return many.unionByName(alone).unionByName(noise)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import cut
+from ..session import cut, drop
 from .skew import hot_join
 
 BLOCK = 4_000
@@ -17,41 +17,72 @@ def totals(features: DataFrame) -> DataFrame:
     return features.groupBy("id").agg(F.sum("weight").alias("total"), F.count("*").alias("n"))
 
 
-def pair_overlaps(features: DataFrame, num: int, den: int, block: int = BLOCK, across: str | None = None, either: str | None = None) -> DataFrame:
+def coded(features: DataFrame) -> DataFrame:
+    """features (a table of their own) with whole numbers as features: equal ones for equal names, different ones for different names.
+
+    The numbers are 64-bit hashes. A second hash tells whether two names share one; then all are hashed anew with
+    another salt, until none do.
+    """
+    salt = 0
+    while True:
+        both = [F.xxhash64(F.lit(salt), "feature").alias("feature"), F.xxhash64("feature", F.lit(salt)).alias("check")]
+        out = cut(features.select(*[c for c in features.columns if c != "feature"], *both), "coded")
+        if out.groupBy("feature").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").isEmpty():
+            return out
+        drop(out)
+        salt += 1
+
+
+def pair_overlaps(
+    features: DataFrame, num: int, den: int, block: int = BLOCK, across: str | None = None, either: str | None = None, low: str | None = None, least: str | None = None
+) -> DataFrame:
     """(a, b, shared, total_a, total_b), a < b: pairs whose shared weight reaches num/den of their mean weight.
 
     across: a boolean column that divides the records; only pairs of a false one (a) and a true one (b) are formed.
     either: a boolean column that is true for at least one record of each pair formed.
+    low, least: columns low <= weight and least <= low. Totals are then sums of low, and least is the smallest low that
+    any record has for the feature.
 
     features: (id, feature, weight), one row for each feature of a record. Score 2 * shared / (total_a + total_b).
     A pair that reaches num/den shares at least num/(2 den - num) of either side's weight, so only the rarest features
     that leave less than this behind are join keys (weighted prefix filter); long lists of one feature are cut into
-    blocks. All weights then count in the exact sum.
+    blocks. A pair meets at the rarest feature it has in common, so the weights from there on must suffice (positional
+    filter). All weights then count in the exact sum.
     """
-    f = cut(features.select("id", "feature", "weight", (F.lit(False) if across is None else F.col(across)).alias("side"), (F.lit(True) if either is None else F.col(either)).alias("asks")), "weighted")
-    counts = cut(f.groupBy("feature").agg(F.count("*").alias("n")), "counts")
-    f = hot_join(f, counts.select("feature", F.col("n").alias("df")), "feature", counts=counts)
+    lows = [F.col(low or "weight").alias("low"), F.col(least or low or "weight").alias("least")]
+    f0 = cut(features.select("id", "feature", "weight", *lows, (F.lit(False) if across is None else F.col(across)).alias("side"), (F.lit(True) if either is None else F.col(either)).alias("asks")), "weighted")
+    counts = cut(f0.groupBy("feature").agg(F.count("*").alias("n")), "counts")
     w = W.partitionBy("id").orderBy(F.desc("df"), F.desc("feature"))
-    f = f.withColumn("behind", F.sum("weight").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("weight").over(W.partitionBy("id")))
-    f = cut(f, "ranked")
-    p = f.where((F.col("df") > 1) & (F.col("behind") * (2 * den - num) >= F.col("total") * num)).select("id", "feature", "total", "side", "asks")
+    all_of = W.partitionBy("id")
+    f = hot_join(f0, counts.select("feature", F.col("n").alias("df")), "feature", counts=counts)
+    f = f.withColumn("behind", F.sum("weight").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("total", F.sum("low").over(all_of))
+    # what the partner's low weights may lack of the shared weight is no more than what this record's least weights lack
+    f = f.withColumn("need", F.col("total") - F.sum(F.col("weight") - F.col("least")).over(all_of))
+    p0 = cut(f.where((F.col("df") > 1) & (F.col("behind") * (2 * den - num) >= F.col("need") * num)).select("id", "feature", "behind", "total", "side", "asks"), "ranked")
     # every list longer than a block is divided, whatever its share of all rows
-    long = cut(p.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > block), "lists")
+    long = cut(p0.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") > block), "lists")
     parts = long.select("feature", F.ceil(F.col("n") / block).cast("int").alias("nb"))
-    p = cut(hot_join(p, parts, "feature", "left", counts=long).withColumn("nb", F.coalesce("nb", F.lit(1))), "prefix")
-    left, right = (p, p) if across is None else (p.where("not side"), p.where("side"))
-    a = left.select("feature", F.pmod(F.xxhash64("id"), "nb").cast("int").alias("blk"), F.col("id").alias("a"), F.col("total").alias("ta"), F.col("asks").alias("asks_a"))
-    b = right.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("feature", "blk", F.col("id").alias("b"), F.col("total").alias("tb"), F.col("asks").alias("asks_b"))
-    # the heavier side can hold no more than the lighter in common
-    fits = (2 * den * F.least("ta", "tb") >= num * (F.col("ta") + F.col("tb"))) & (F.lit(True) if across else F.col("a") < F.col("b")) & (F.col("asks_a") | F.col("asks_b"))
-    pairs = cut(a.join(b, ["feature", "blk"]).where(fits).select("a", "b").distinct(), "candidates")
-    sets = f.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("m"), F.first("total").alias("total"))
+    p = hot_join(p0, parts, "feature", "left", counts=long).withColumn("nb", F.coalesce("nb", F.lit(1)))
+    left, right = (p.where("asks"), p) if across is None else (p.where("not side"), p.where("side"))
+    a = left.select("feature", F.pmod(F.xxhash64("id"), "nb").cast("int").alias("blk"), F.col("id").alias("a"), F.col("total").alias("ta"), F.col("behind").alias("behind_a"), F.col("asks").alias("asks_a"))
+    b = right.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("feature", "blk", F.col("id").alias("b"), F.col("total").alias("tb"), F.col("behind").alias("behind_b"), F.col("asks").alias("asks_b"))
+    once = (F.col("asks_a") | F.col("asks_b")) if across else (F.col("a") < F.col("b")) | (~F.col("asks_b") & (F.col("a") != F.col("b")))
+    fits = (2 * den * F.least("behind_a", "behind_b") >= num * (F.col("ta") + F.col("tb"))) & once
+    ends = [F.col("a"), F.col("b")] if across else [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = cut(a.join(b, ["feature", "blk"]).where(fits).select(*ends).distinct(), "candidates")
+    drop(p0, long, counts)
+    # only the sets of candidates are looked up
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = f0.join(ids, "id", "left_semi").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "weight"))).alias("m"), F.sum("low").alias("total"))
     sets = cut(sets, "sets")
+    drop(f0)
     x = sets.select(F.col("id").alias("a"), F.col("m").alias("ma"), F.col("total").alias("total_a"))
     y = sets.select(F.col("id").alias("b"), F.map_keys("m").alias("kb"), F.col("total").alias("total_b"))
     shared = F.aggregate(F.array_intersect(F.map_keys("ma"), "kb"), F.lit(0).cast("long"), lambda s, k: s + F.element_at("ma", k))
     got = pairs.join(x, "a").join(y, "b").withColumn("shared", shared)
-    return got.where(F.col("shared") * 2 * den >= (F.col("total_a") + F.col("total_b")) * num).select("a", "b", "shared", "total_a", "total_b")
+    got = cut(got.where(F.col("shared") * 2 * den >= (F.col("total_a") + F.col("total_b")) * num).select("a", "b", "shared", "total_a", "total_b"), "overlaps")
+    drop(pairs, sets)
+    return got
 
 
 def similarity_pairs(features: DataFrame, num: int = 83, den: int = 100) -> DataFrame:

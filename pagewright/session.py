@@ -53,11 +53,30 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
+#: Spark deletes the shuffle files of a written table as soon as it is written, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as a table in the shared scratch folder and read it back.
 
     Cuts the lineage: a lost executor costs at most a re-read. The plan after it knows the real size.
     """
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut returned and that no plan reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._cut)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

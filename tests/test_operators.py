@@ -12,7 +12,7 @@ from pagewright.functions import content, language, layout, text
 from pagewright.operators import cluster, evaluate, features, ingest, labelling, similarity
 from pagewright.operators.graph import connected_components
 from pagewright.operators.skew import hot_join
-from pagewright.session import cut
+from pagewright.session import cut, drop
 
 
 def rows(df, *cols):
@@ -220,6 +220,48 @@ def test_leader_above_a_block_is_one_pass(spark, best):
     assert {got[i][0] for i in range(1, n, 2)} == {1}
 
 
+@pytest.mark.parametrize("best", [False, True])
+def test_leader_with_weights_that_differ(spark, best):
+    rnd = random.Random(5)
+    docs = {i: {f"f{k}": rnd.choice([4, 4, 4, 1]) if k < 4 else 1 for k in rnd.sample(range(12), rnd.randint(6, 9))} for i in range(1, 121)}
+    lead, first, want = cluster.Leader(70, 100, best), [], {}
+    for i, d in docs.items():
+        c, distance = lead.add(d)
+        if c == len(first):
+            first.append(i)
+        want[i] = (first[c], distance)
+    df = spark.createDataFrame([(i, f, w) for i, d in docs.items() for f, w in d.items()], "id long, feature string, weight int")
+    got = {r["id"]: (r["cluster_id"], r["distance"]) for r in cluster.leader_clusters(df, 70, 100, best).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("best", [False, True])
+def test_one_light_weight_does_not_pair_all_documents(spark, monkeypatch, best):
+    n, sizes = 400, []
+
+    def counting(df, name="t"):
+        out = cut(df, name)
+        if name == "candidates":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "cut", counting)
+    one = lambda i: [("enum", 1 if i == 1 else 4), ("p1", 1), ("p2", 1), *[(f"t{i}_{k}", 1) for k in range(3)]]
+    df = spark.createDataFrame([(i, f, w) for i in range(1, n + 1) for f, w in one(i)], "id long, feature string, weight int")
+    assert {r["cluster_id"] for r in cluster.leader_clusters(df, best=best).collect()} == set(range(1, n + 1))
+    assert max(sizes) < 2 * n
+
+
+def test_tables_are_dropped_and_codes_are_apart(spark):
+    f = spark.createDataFrame([(i, f"x{i % 50}") for i in range(200)], "id long, feature string")
+    got = similarity.coded(f)
+    assert got.select("feature").distinct().count() == 50
+    assert got.count() == 200
+    drop(got)
+    with pytest.raises(Exception, match="does not exist|not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        got.collect()
+
+
 def test_subclusters_soft_values(spark):
     cols = "id long, feature string, level string, value double, weight int"
     f = spark.createDataFrame([(1, "xPos_100", "subcluster", 100.0, 1), (2, "xPos_105", "subcluster", 105.0, 1), (3, "xPos_200", "subcluster", 200.0, 1)], cols)
