@@ -134,6 +134,35 @@ def soft_matches(a: DataFrame, b: DataFrame, tolerance: float = 5.0) -> DataFram
     return x.join(y, ["kind", "bucket"]).where(F.abs(F.col("va") - F.col("vb")) <= tolerance).select("a", "feature_a", "b", "feature_b")
 
 
+def soft_match_counts(features: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """(a, others, matches): with how many others each record has soft matches (soft_matches), and how many; none without.
+
+    features: (id, feature, value), each feature of a record once. Records with the same features and values are one
+    class, and pairs of classes are only counted: no pair of records or classes is shuffled. A pair of classes counts
+    once, at the first of their features that match.
+    """
+    p = features.where("value is not null").withColumn("kind", F.substring_index("feature", "_", 1)).where("value = value")
+    by = cut(p.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("kind", "feature", "value"))).alias("fs")), "points")
+    c = cut(by.groupBy("fs").agg(F.min("id").alias("c"), F.count("*").alias("n")), "classes")
+    rows = lambda x: c.select("c", "n", "fs", F.posexplode("fs").alias("at", "x")).select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("fs").alias(f"fs_{x}"), F.col("at").alias(f"at_{x}"), F.col("x").alias(f"x_{x}"))
+    x = rows("a").withColumn("kind", F.col("x_a.kind")).withColumn("bucket", F.explode(F.array(*[F.floor(F.col("x_a.value") / tolerance) + i for i in (-1, 0, 1)])))
+    y = rows("b").withColumn("bucket", F.floor(F.col("x_b.value") / tolerance))
+    # the kinds are few; each name is told once which of them it holds, and the kind joins the key
+    names = y.select("x_b.feature").distinct().join(x.select("kind").distinct(), F.col("feature").contains(F.col("kind")))
+    y = y.join(names, y["x_b.feature"] == names["feature"]).drop("feature")
+    like = lambda v, w: (F.abs(v["value"] - w["value"]) <= tolerance) & w["feature"].contains(v["kind"])
+    met = x.join(y, ["kind", "bucket"]).where(like(F.col("x_a"), F.col("x_b")))
+    upto = lambda s: F.slice(f"fs_{s}", F.lit(1), F.col(f"at_{s}"))
+    earlier = F.exists(upto("a"), lambda v: F.exists("fs_b", lambda w: like(v, w))) | F.exists(upto("b"), lambda w: like(F.col("x_a"), w))
+    # a class meets its own members too: all but the record itself are others
+    n = met.groupBy("a").agg(
+        F.sum(F.when(~earlier, F.col("n_b")).otherwise(0)).alias("others"), F.sum("n_b").alias("matches"), F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("own")
+    )
+    n = n.select("a", (F.col("others") - F.when(F.col("own") > 0, 1).otherwise(0)).alias("others"), (F.col("matches") - F.col("own")).alias("matches")).where("others > 0")
+    n = c.join(n, c["c"] == n["a"]).select("fs", "others", "matches")
+    return by.join(n, "fs").select(F.col("id").alias("a"), "others", "matches")
+
+
 def size_ratio_filter(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose feature counts have a ratio of at least num/den; sizes: (id, n). A lossy shortcut, off by default."""
     p = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")

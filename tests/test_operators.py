@@ -262,6 +262,16 @@ def test_tables_are_dropped_and_codes_are_apart(spark):
         got.collect()
 
 
+def test_soft_match_counts_against_matches(spark):
+    rnd = random.Random(3)
+    kinds = ["xPos", "wSize", "w", "pos_wSize"]
+    data = {(i, f"{rnd.choice(kinds)}_{v}", float(v)) for i in range(1, 80) for v in [rnd.randint(0, 60) for _ in range(rnd.choice([1, 1, 1, 2, 4]))]}
+    data |= {(i, "wSize_7", 7.0) for i in range(100, 130)} | {(200, "alone_900", 900.0), (201, "nan_1", float("nan")), (202, "xPos_3", None)}
+    f = spark.createDataFrame(sorted(data, key=str), "id long, feature string, value double")
+    want = similarity.soft_matches(f, f).where("a <> b").groupBy("a").agg(F.count_distinct("b").alias("others"), F.count("*").alias("matches"))
+    assert rows(similarity.soft_match_counts(f)) == rows(want)
+
+
 def test_subclusters_soft_values(spark):
     cols = "id long, feature string, level string, value double, weight int"
     f = spark.createDataFrame([(1, "xPos_100", "subcluster", 100.0, 1), (2, "xPos_105", "subcluster", 105.0, 1), (3, "xPos_200", "subcluster", 200.0, 1)], cols)
