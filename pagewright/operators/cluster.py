@@ -289,16 +289,21 @@ def merge_clusters(features: DataFrame, assigned: DataFrame, num: int = 80, den:
     only pairs with a cluster that has taken others in: all other scores are as they were.
     """
     a = cut(assigned.select("id", "cluster_id"), "assigned")
-    parts = cut(prune(contributions(features.select("id", "feature", "weight"), a.where("cluster_id <> 0"))), "parts")
+    f = coded(features.select("id", "feature", "weight"))
+    parts = cut(prune(contributions(f, a.where("cluster_id <> 0"))), "parts")
+    drop(f)
     changed = None
     for _ in range(rounds):
         edges = cut(merge_edges(parts, num, den, short_path, changed), "edges")
         if edges.isEmpty():
             break
         to = cut(survivors(edges), "survivors")
+        before = a, parts, edges
         a = cut(hot_join(a, to.select("cluster_id", "survivor"), "cluster_id", "left").select("id", F.coalesce("survivor", "cluster_id").alias("cluster_id")), "assigned")
         parts = cut(merged(parts, to), "parts")
+        drop(*before)
         changed = cut(to.select(F.col("survivor").alias("id")).distinct(), "changed")
+    drop(parts)
     return a
 
 

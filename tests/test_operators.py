@@ -12,7 +12,7 @@ from pagewright.functions import content, language, layout, text
 from pagewright.operators import cluster, evaluate, features, ingest, labelling, similarity
 from pagewright.operators.graph import connected_components
 from pagewright.operators.skew import hot_join
-from pagewright.session import cut, drop
+from pagewright.session import cut, drop, scratch
 
 
 def rows(df, *cols):
@@ -262,6 +262,19 @@ def test_tables_are_dropped_and_codes_are_apart(spark):
         got.collect()
 
 
+def test_merging_keeps_no_contributions(spark):
+    import os
+
+    names = lambda: {x for x in os.listdir(scratch(spark).removeprefix("file://")) if x.startswith(("parts-", "coded-"))}
+    sets = {i: {f"f{k}" for k in range(12)} | {f"own{i}"} for i in (1, 2, 3)} | {9: {f"g{k}" for k in range(8)}}
+    f = spark.createDataFrame([(i, x, 1) for i, d in sets.items() for x in d], "id long, feature string, weight int")
+    cut(f.limit(1), "any")
+    before = names()
+    got = cluster.merge_clusters(f, f.select("id", F.col("id").alias("cluster_id")).distinct())
+    assert names() == before
+    assert rows(got) == [(1, 2), (2, 2), (3, 2), (9, 9)]
+
+
 def test_soft_match_counts_against_matches(spark):
     rnd = random.Random(3)
     kinds = ["xPos", "wSize", "w", "pos_wSize"]
