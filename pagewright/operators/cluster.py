@@ -135,11 +135,14 @@ def leader_blocks(features: DataFrame, num: int = 83, den: int = 100, best: bool
 
 
 def _documents(features: DataFrame) -> DataFrame:
-    """(id, fs, k): the features of each document as numbers in one row, in one order for all."""
-    f = coded(features.select("id", "feature", "weight"))
+    """(id, fs, k): the features of each document as numbers in one row, in one order for all; features that are whole numbers stay so."""
+    f = features.select("id", "feature", "weight")
+    named = dict(f.dtypes)["feature"] != "bigint"
+    f = coded(f) if named else f
     docs = f.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("feature", "weight"))).alias("fs"))
     docs = cut(docs.withColumn("k", F.size("fs")), "docs")
-    drop(f)
+    if named:
+        drop(f)
     return docs
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ..functions.norm import feature_key, strip
 from ..functions.text import NOT_ENUMERATORS, before_colon, enumerator, enumerator_type, first_tokens, fold_vowels, has_text, strip_dates, strip_numbers
 from .ingest import layout_scope, skip_statement_pages
+from .similarity import code
 
 WEIGHTS = {"title": 1, "subtitle": 2, "text": 1, "page": 1, "enumerator": 4}  # fixed values; others 1
 COLUMNS = ["file_name", "feature", "type", "level", "value", "frequency"]
@@ -108,3 +109,14 @@ def clean_features(features: DataFrame, id_: str = "doc_id") -> DataFrame:
     f = features.select(F.col(id_).alias("id"), feature_key("feature").alias("feature"), "type", "level", "value", "frequency").where("id is not null and feature is not null")
     g = f.groupBy("id", "feature").agg(F.min("type").alias("type"), F.min("level").alias("level"), F.max("value").alias("value"), F.max("frequency").alias("frequency"))
     return g.withColumn("weight", weight(F.col("type")))
+
+
+def coded_features(features: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """(id, feature, level, weight): clean_features with whole numbers for names.
+
+    Names become numbers before rows meet, so no shuffle holds a name, and the shuffle by id serves all that is grouped by id.
+    """
+    f = features.select(F.col(id_).alias("id"), feature_key("feature").alias("feature"), "type", "level").where("id is not null and feature is not null")
+    f = f.select("id", code(f), "type", "level").repartition("id")
+    g = f.groupBy("id", "feature").agg(F.min("type").alias("type"), F.min("level").alias("level"))
+    return g.select("id", "feature", "level", weight(F.col("type")).alias("weight"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,6 +33,20 @@ def coded(features: DataFrame) -> DataFrame:
         salt += 1
 
 
+def code(features: DataFrame) -> Column:
+    """Whole numbers for the features of a lazy plan, as coded gives to those of a table: different ones for different names."""
+    salt = 0
+    while True:
+        number = F.xxhash64(F.lit(salt), "feature").alias("feature")
+        both = features.select(number, F.xxhash64("feature", F.lit(salt)).alias("check"))
+        shared = cut(both.groupBy("feature").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y"), "shared")
+        apart = shared.isEmpty()
+        drop(shared)
+        if apart:
+            return number
+        salt += 1
+
+
 def pair_overlaps(
     features: DataFrame, num: int, den: int, block: int = BLOCK, across: str | None = None, either: str | None = None, low: str | None = None, least: str | None = None
 ) -> DataFrame:

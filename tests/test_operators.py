@@ -482,3 +482,53 @@ def test_cleans_features(spark):
 def test_cut_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.when(F.col("id") > 5, F.lit("a")))
     assert rows(cut(df), "id") == rows(df, "id")
+
+
+def shuffles(df):
+    """The columns (name, type) that each shuffle of a plan carries."""
+
+    def walk(p):
+        if p.nodeName() == "AdaptiveSparkPlan":
+            p = p.initialPlan()
+        if p.nodeName() == "Exchange":
+            yield {(p.output().apply(i).name(), p.output().apply(i).dataType().simpleString()) for i in range(p.output().size())}
+        for i in range(p.children().size()):
+            yield from walk(p.children().apply(i))
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+@pytest.mark.parametrize("name", ["document_records"])
+def test_no_shuffle_or_table_holds_the_names_of_features(spark, sf, monkeypatch, name):
+    from pagewright.operators import graph
+    from pagewright.plans import queries
+
+    plans, tables = [], []
+
+    def watching(df, name="t"):
+        plans.extend(shuffles(df))
+        tables.append(set(df.dtypes))
+        return cut(df, name)
+
+    for m in (cluster, graph, queries, similarity):
+        monkeypatch.setattr(m, "cut", watching)
+    plans += shuffles(queries.queries()[name](spark, sf))
+    assert any(("feature", "bigint") in p for p in plans)
+    assert not [p for p in plans + tables if ("feature", "string") in p]
+
+
+def test_coded_features_are_the_clean_features(spark, monkeypatch):
+    raw = [(1, " A ", "page", "cluster"), (1, "a", None, "subcluster"), (1, "b", "enumerator", "cluster"), (2, "B\t", "title", None), (2, None, "page", "cluster"), (None, "a", "page", "cluster")]
+    raw = spark.createDataFrame([(*r, None, 1) for r in raw], "doc_id long, feature string, type string, level string, value double, frequency int")
+    want = features.clean_features(raw)
+    hashed = F.xxhash64
+    # all names share a number under salt 0
+    monkeypatch.setattr(F, "xxhash64", lambda a, b: F.lit(7).cast("long") if a is zero else hashed(a, b))
+    zero = F.lit(0)
+    lit = F.lit
+    monkeypatch.setattr(F, "lit", lambda x: zero if x == 0 and x is not False else lit(x))
+    got = features.coded_features(raw)
+    monkeypatch.undo()
+    key = F.xxhash64(F.lit(1), "feature").alias("feature")
+    assert rows(got, "id", "feature", "weight") == rows(want.select("id", key, "weight"))
+    assert {(r["id"], r["feature"]): r["level"] for r in got.collect()} == {(r["id"], r["feature"]): r["level"] for r in want.select("id", key, "level").collect()}
